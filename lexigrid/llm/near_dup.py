@@ -31,8 +31,8 @@ from .common import doc_text, materialize, read
 from .components import connected_components
 from .textkit import buffers, group_starts, shingle_hashes, slices, word_hashes
 
-COORDINATES = 64
-MIN_MATCHES = 32
+COORDINATES = 96
+MIN_MATCHES = 46
 SHINGLE = 3
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import op8_benchmark_decontamination
+from .line_dedup import op10_line_dedup
 from .near_dup import op2_minhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op8_benchmark_decontamination, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

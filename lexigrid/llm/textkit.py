@@ -136,3 +136,27 @@ def group_starts(row: np.ndarray) -> np.ndarray:
     if not len(row):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+
+
+def normalise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of every row, case-folded (ASCII and Latin-1 letters), joined by single spaces.
+
+    Returns bytes and offsets; a row neither begins nor ends with a space.
+    """
+    inside = _WORD[raw]
+    start, end, row = word_spans(raw, off)
+    folded = _FOLD[raw].astype(np.uint8)
+    two = np.zeros(len(raw), bool)
+    two[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    folded[two] += 0x20
+    size = end - start
+    inner = np.zeros(len(start), bool)
+    if len(start):
+        inner[1:] = row[1:] == row[:-1]
+    width = size + inner
+    out = np.full(int(width.sum()), 32, np.uint8)
+    if len(start):
+        shift = np.cumsum(width) - size - start
+        out[np.flatnonzero(inside) + np.repeat(shift, size)] = folded[inside]
+    per_row = np.bincount(row, width, minlength=len(off) - 1).astype(np.int64)
+    return out, np.r_[0, np.cumsum(per_row)]
