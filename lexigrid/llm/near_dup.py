@@ -144,9 +144,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MA
     """
     if not 1 <= t <= k:
         raise ValueError("the match threshold must lie between 1 and the number of coordinates")
-    sigs = materialize(signatures(docs, k, shingle), "signatures")
-    members = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(members, "classes")
+    members = signatures(docs, k, shingle).groupBy("sig").agg(F.collect_set("doc_id").alias("ids"))
+    classes = materialize(members.select("sig", F.array_min("ids").alias("rep"), "ids"), "classes")
     by_token = Window.partitionBy("token")
     shared = _postings(classes, k).withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1")
     prefix = (
@@ -155,11 +154,10 @@ def near_duplicate_groups(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MA
         .filter(F.size("lists") >= t)
         .select("rep", F.expr(f"slice(lists, 1, size(lists) - {t} + 1)").alias("lists"))
     )
-    prefixed = classes.join(prefix, "rep").select(F.explode("lists.token").alias("token"), "rep", "sig")
+    prefixed = classes.select("rep", "sig").join(prefix, "rep").select(F.explode("lists.token").alias("token"), "rep", "sig")
     links = _links(prefixed, k, t).groupBy("u", "v").agg(F.max("matches").alias("matches"))
-    copies = (
-        sigs.join(classes.filter("n > 1"), "sig").filter("doc_id <> rep")
-        .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"), F.lit(k).cast("int").alias("matches")).distinct()
+    copies = classes.filter("size(ids) > 1").select(
+        F.explode("ids").alias("u"), F.col("rep").alias("v"), F.lit(k).cast("int").alias("matches")
     )
     links = materialize(links.filter("u <> v").unionByName(copies), "links")
     nodes = connected_components(links.select("u", "v"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .decontam import op8_benchmark_decontamination
 from .line_dedup import op10_line_dedup
+from .lm_score import op1_lm_scoring
 from .near_dup import op2_minhash_near_dedup
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op8_benchmark_decontamination, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_toxicity, op5_byte_bpe, op8_benchmark_decontamination, op10_line_dedup)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,108 @@
+"""LM scoring against a model written with dictionaries, symbol by symbol."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lexigrid.llm import lm_score as lm
+from lexigrid.llm.textkit import buffers
+
+N = lm.ORDER
+
+
+class Plain:
+    """Interpolated Witten-Bell with pruned arcs and back-off, by recursion."""
+
+    def __init__(self, texts):
+        self.count = [Counter() for _ in range(N + 1)]
+        for text in texts:
+            s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+            for i in range(N - 1, len(s)):
+                for k in range(1, N + 1):
+                    self.count[k][tuple(s[i - k + 1 : i + 1])] += 1
+        self.follow = defaultdict(Counter)
+        for k in range(1, N + 1):
+            for gram, n in self.count[k].items():
+                self.follow[gram[:-1]][gram[-1]] = n
+
+    def arcs(self, h):
+        return {w for w, n in self.follow.get(h, {}).items() if n >= lm.MIN_COUNT[len(h) + 1]}
+
+    def p(self, h, w):
+        f = self.follow.get(h)
+        if not f:
+            return self.p(h[1:], w)
+        lower = self.p(h[1:], w) if h else 1 / lm.SYMBOLS
+        if w in self.arcs(h):
+            return (f[w] + len(f) * lower) / (sum(f.values()) + len(f))
+        return self.back(h) * lower
+
+    def back(self, h):
+        arcs = self.arcs(h)
+        return (1 - sum(self.p(h, w) for w in arcs)) / (1 - sum(self.p(h[1:], w) for w in arcs)) if arcs else 1.0
+
+    def score(self, text):
+        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+        return sum(math.log(self.p(tuple(s[i - N + 1 : i]), s[i])) for i in range(N - 1, len(s)))
+
+
+TEXTS = ["abra cadabra", "abracadabra abra", "", "a", "zürich über alles", "ab ab ab ab abra", "x" * 40, "cadabra\n\nabra", "日本日本", "abra cadabra"]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 24])
+def test_scores_equal_the_plain_model(spark, block_bytes):
+    rows = list(enumerate(TEXTS))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(docs, block_bytes=block_bytes).collect()}
+    plain = Plain(TEXTS)
+    assert sorted(got) == list(range(len(TEXTS)))
+    for i, text in rows:
+        assert got[i].n_symbols == len(text.encode()) + 1
+        assert got[i].log_prob == pytest.approx(plain.score(text), rel=1e-9)
+        assert got[i].perplexity == pytest.approx(math.exp(-plain.score(text) / got[i].n_symbols), rel=1e-9)
+
+
+def test_segments_carry_the_same_state():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (0, 1, 5, 300, 77)]
+    raw, off = buffers(pa.array(texts))
+    key, n = lm._count(raw, off)
+    pair, inverse = np.unique(key & 0xFFFF, return_inverse=True)
+    two = np.bincount(inverse, n)
+    last, first = pair & 0xFF, pair >> 8
+    q1 = {w: (two[last == w].sum() + len(set(last)) / lm.SYMBOLS) / (n.sum() + len(set(last))) for w in set(last)}
+    q2, parts = np.zeros(len(pair)), []
+    for i in range(len(pair)):
+        kinds, total = (first == first[i]).sum(), two[first == first[i]].sum()
+        q2[i] = (two[i] + kinds * q1[last[i]]) / (total + kinds)
+        parts.append((np.array([first[i] | lm._tag(1) | lm._STATE]), np.array([math.log(kinds / (kinds + total))])))
+    parts.append((pair | lm._tag(2), np.log(q2)))
+    parts.append((np.array(sorted(q1)) | lm._tag(1), np.log([q1[w] for w in sorted(q1)])))
+    parts += list(lm.smooth(key, n, q2[inverse]))
+    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_index=True)
+    automaton = lm.Automaton(gram, np.concatenate([w for _, w in parts])[at])
+    whole = automaton.score(raw, off, segment=1 << 20)
+    assert np.allclose(automaton.score(raw, off, segment=7), whole, rtol=1e-12)
+    plain = Plain(texts)
+    assert np.allclose(whole, [plain.score(t) for t in texts], rtol=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    plain = Plain(TEXTS)
+    seen = [g[0] for g in plain.count[1]]
+    rest = (lm.SYMBOLS - len(seen)) / lm.SYMBOLS * len(seen) / (sum(plain.count[1].values()) + len(seen))
+    assert sum(plain.p((), w) for w in seen) == pytest.approx(1 - rest)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, block string, gram int, weight double"
+    rows = [(1, None, "x", 1, 0.0), (None, "abc", None, None, None), (2, "", "y", 2, 1.0), (3, "abc", "z", 3, 2.0), (3, "abc", "z", 3, 2.0), (4, "q" * 5000, "", 0, 0.0)]
+    got = lm.score_documents(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 6
+    by = {r.doc_id: r for r in got}
+    assert by[1].log_prob is None and by[1].n_symbols is None and by[2].n_symbols == 1
+    assert by[3].log_prob == by[None].log_prob
+    assert lm.score_documents(spark.createDataFrame([], schema)).count() == 0
