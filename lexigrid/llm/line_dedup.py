@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_text, read
-from .textkit import _pow, buffers, group_starts, mix64, slices, word_hashes, word_spans
+from .textkit import Hasher, _pow, buffers, group_starts, mix64, slices, word_spans
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -34,8 +34,8 @@ class Lines:
 
     def __init__(self, texts: pa.Array, depth: int, min_tokens: int):
         raw, off = buffers(texts)
-        token, row = word_hashes(raw, off)
-        start, end, _ = word_spans(raw, off)
+        start, end, row = word_spans(raw, off)
+        token = Hasher(raw)(start, end)
         digits = np.zeros(len(raw) + 1, np.int32)
         np.cumsum((raw >= 48) & (raw <= 57), out=digits[1:])
         token = np.where(digits[end] > digits[start], _FIELD, token)

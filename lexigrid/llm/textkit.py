@@ -98,15 +98,24 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
+class Hasher:
+    """64-bit hashes of stretches of the folded bytes; equal stretches hash alike anywhere."""
+
+    def __init__(self, raw: np.ndarray):
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * _pow(_BASE, len(raw)), out=self.sums[1:])
+        self.undo = _pow(_BASE_INV, len(raw))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        return mix64((self.sums[end] - self.sums[start]) * self.undo[start])
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the row of every word; equal words hash alike anywhere."""
+    """Hash and row of every word."""
     start, end, row = word_spans(raw, off)
-    if not len(start):
-        return np.zeros(0, np.uint64), row
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _pow(_BASE, len(raw)), out=sums[1:])
-    h = (sums[end] - sums[start]) * _pow(_BASE_INV, len(raw))[start]
-    return mix64(h), row
+    return Hasher(raw)(start, end), row
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

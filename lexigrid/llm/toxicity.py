@@ -6,8 +6,8 @@ While training, those come from models that have not seen the document
 (``FOLDS``-fold out-of-fold predictions), so later models meet in training what
 they meet in use.
 
-Features are the presence of words, chosen by chi-square against the label, and
-four shares of the text's bytes.  The chain is fitted on at most ``TRAIN_DOCS``
+Features are the presence of words and of word beginnings, chosen by chi-square
+against the label, and four shares of the text's bytes.  The chain is fitted on at most ``TRAIN_DOCS``
 labelled documents with distinct texts, those first by the hash of their id;
 every document is scored.
 """
@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, read
 from .linear import chi_square, fit_logistic, sigmoid
-from .textkit import buffers, group_starts, slices, word_hashes
+from .textkit import Hasher, buffers, slices, word_spans
 
 #: category -> (label column, the value that means yes), in chain order
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 TRAIN_DOCS = 8_000
 FOLDS = 5
 MAX_WORDS = 200
+BEGINNINGS = (5, 6, 7, 8)  # bytes
 MIN_CHI = 25.0
 MIN_PRESENT = 4
-REJECT_AT = 0.5
+RIDGE = 0.1
 
 
 def _shares(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -49,12 +50,40 @@ def _shares(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, and of the beginnings of longer words."""
+    start, end, row = word_spans(raw, off)
+    hasher = Hasher(raw)
+    flat, rows = [hasher(start, end).view(np.int64)], [row]
+    for i, n in enumerate(BEGINNINGS, 1):
+        longer = end - start > n
+        at = start[longer]
+        flat.append(hasher(at, at + n).view(np.int64) ^ i)  # a beginning is not the word it spells
+        rows.append(row[longer])
+    return np.concatenate(flat), np.concatenate(rows)
+
+
 @dataclass
 class Link:
     """One category's model: its words, and weights for words, shares, earlier categories, intercept."""
 
     words: np.ndarray
     weights: np.ndarray
+    #: probability from which the category is assigned
+    threshold: float
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the greatest F1, half way (in log-odds) between the scores around it; 0.5 without both classes."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = -1  # no cut between equal scores
+    at = int(f1.argmax())
+    z = np.log(p / (1 - p))
+    return float(sigmoid((z[at] + z[at + 1]) / 2)) if at + 1 < len(p) else float(p[at])
 
 
 def _design(words: np.ndarray, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -90,9 +119,9 @@ def fit_chain(flat: np.ndarray, row: np.ndarray, shares: np.ndarray, labels: np.
         ours = np.zeros(n)
         for f in range(FOLDS):
             train = known & (fold != f)
-            w = fit_logistic(x[train], y[train])
+            w = fit_logistic(x[train], y[train], RIDGE)
             ours[fold == f] = sigmoid(x[fold == f] @ w[:-1] + w[-1])
-        chain.append(Link(words, fit_logistic(x[known], y[known])))
+        chain.append(Link(words, fit_logistic(x[known], y[known], RIDGE), best_threshold(ours[known], y[known])))
         earlier = np.c_[earlier, ours]
     return chain
 
@@ -100,8 +129,7 @@ def fit_chain(flat: np.ndarray, row: np.ndarray, shares: np.ndarray, labels: np.
 def apply_chain(chain: list[Link], raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Rows x categories of probabilities."""
     n = len(off) - 1
-    flat, row = word_hashes(raw, off)
-    flat = flat.view(np.int64)
+    flat, row = word_features(raw, off)
     shares = _shares(raw, off)
     wanted = np.zeros(1 << 16, bool)
     for link in chain:
@@ -131,9 +159,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             raw, off = buffers(part.column("text"))
-            flat, row = word_hashes(raw, off)
+            flat, row = word_features(raw, off)
             order = np.lexsort((flat, row))
-            flat, row = flat[order].view(np.int64), row[order]
+            flat, row = flat[order], row[order]
             new = np.ones(len(flat), bool)
             new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
             flat, row = flat[new], row[new]
@@ -173,9 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     return fit_chain(flat, row, shares, labelled)
 
 
-def score(docs: DataFrame, chain: list[Link], categories: dict[str, tuple[str, int]] = CATEGORIES, reject_at: float = REJECT_AT) -> DataFrame:
+def score(docs: DataFrame, chain: list[Link], categories: dict[str, tuple[str, int]] = CATEGORIES) -> DataFrame:
     """(doc_id, p_<category>..., rejected) for every row; the last category decides.
 
+    It rejects from the threshold that did best on the out-of-fold predictions.
+
     A null text has null probabilities and is not rejected; a text without words
     is scored by its other features.  Rows that repeat an id are scored each.
     """
@@ -187,13 +217,13 @@ def score(docs: DataFrame, chain: list[Link], categories: dict[str, tuple[str, i
             p = apply_chain(chain, *buffers(text))
             null = np.asarray(text.is_null())
             columns = [pa.array(p[:, i], mask=null) for i in range(len(names))]
-            rejected = pa.array((p[:, -1] >= reject_at) & ~null)
+            rejected = pa.array((p[:, -1] >= chain[-1].threshold) & ~null)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, rejected], ["doc_id", *names, "rejected"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{p} double" for p in names) + ", rejected boolean")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the chain rejects; all columns kept, no shuffle.
 
     The verdict is taken on the text itself, so ids play no part in it.
@@ -203,7 +233,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT)
     def verdicts(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         keep = [
-            (apply_chain(chain, *buffers(part.column(0)))[:, -1] < reject_at) | np.asarray(part.column(0).is_null())
+            (apply_chain(chain, *buffers(part.column(0)))[:, -1] < chain[-1].threshold) | np.asarray(part.column(0).is_null())
             for part in slices(iter([batch]), "text")
         ]
         return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
