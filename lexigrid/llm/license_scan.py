@@ -26,11 +26,20 @@ from .textkit import Hasher, buffers, normalise, slices, word_spans
 _V = r"(?: version)? ?v?(\d)(?: 0)?"
 _LATER = r"(?: or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?)"
 
+SPDX = {
+    name.lower().replace("-", " ").replace(".", " "): name
+    for name in (
+        "Apache-2.0 MIT MIT-0 ISC BSD-2-Clause BSD-3-Clause BSD-4-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0 "
+        "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 "
+        "CC-BY-NC-4.0 Unlicense Zlib BSL-1.0 0BSD"
+    ).split()
+}
+
 #: identifier, pattern of the whole normalised sentence; {0} in an identifier is the first capture
 SENTENCES: list[tuple[str, str]] = [
     ("copyright", r"(?:portions )?copyright (?:c )?(?:\d{4}|[\w ]*\d{4}).*|copyright c .*|c copyright .*"),
     ("all-rights", r"all rights reserved"),
-    ("spdx:{0}", r"spdx license identifier ([a-z0-9 ]+)"),
+    ("spdx:{0}", rf"spdx license identifier ({'|'.join(SPDX)})"),
     ("apache-{0}", rf"(?:this (?:work|file|software|project) is )?licensed under the apache license{_V}(?: the license)?|(?:released|distributed|available) under the apache license{_V}"),
     ("apache-conditional", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at(?: https?)? www apache org licenses license 2 0(?: txt)?|you may obtain a copy of the license at"),
@@ -129,7 +138,7 @@ def _title(licence: str, part: str) -> str:
         part = part.replace(" ", ".") if " " in part else f"{part}.0"
         return f"LGPL-{part}-only"
     elif licence == "{0}":
-        part = part.strip().replace(" ", "-").upper()
+        part = SPDX[part]
     return licence.replace("{0}", part)
 
 

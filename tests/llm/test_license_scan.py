@@ -52,7 +52,7 @@ CASES = {
     6: ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
     7: ("Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
     8: ("We talked about the MIT License and its terms at length.", []), 9: ("Copyright 2019 Somebody. Nothing else.", []),
-    10: ("SPDX-License-Identifier: BSD-3-Clause\nint main;", ["BSD-3-CLAUSE"]), 11: (None, []), 12: ("", []),
+    10: ("SPDX-License-Identifier: BSD-3-Clause\nint main;", ["BSD-3-Clause"]), 11: (None, []), 12: ("", []),
     13: ("word " * 300_000 + "\nReleased under the MIT License.", ["MIT"]),
 }
 
