@@ -29,7 +29,7 @@ def leaves(column: Column, kind: T.DataType, path: Column | None) -> Column | No
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
         return F.array(F.struct(path.alias("field"), column.cast("string").alias("value")))
     if isinstance(kind, T.StructType):
-        parts = [leaves(column[f"`{f.name}`"], f.dataType, _join(path, F.lit(f.name))) for f in kind.fields]
+        parts = [leaves(column.getField(f.name), f.dataType, _join(path, F.lit(f.name))) for f in kind.fields]
         parts = [p for p in parts if p is not None]
         return F.coalesce(F.concat(*parts), _none()) if parts else None
     if isinstance(kind, T.ArrayType):

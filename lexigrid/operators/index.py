@@ -217,14 +217,9 @@ class SearchIndex:
     def _highlighted(self, page: DataFrame, terms: list[str], how: SearchOptions) -> DataFrame:
         if not how.highlighted_fields:
             return page
-        doc = F.col("doc").try_cast("string")
-        parts = F.from_json(doc, "map<string,string>")
-        out = doc
         for name in how.highlighted_fields:
-            text = F.get_json_object(doc, f"$['{name}']")
-            marked = highlight(text, terms, self.analyzer, how.highlight_before, how.highlight_after)
-            page = page.withColumn(f"highlighted_{name}", F.when(F.map_contains_key(parts, F.lit(name)), marked))
-        del out
+            text = F.get_json_object("doc", f"$['{name}']")
+            page = page.withColumn(f"highlighted_{name}", highlight(text, terms, self.analyzer, how.highlight_before, how.highlight_after))
         return page
 
     def search_batch(self, queries: DataFrame, query_id: str = "query_id", text: str = "text", fields: list[str] | None = None, limit: int | None = 10, offset: int = 0, k1: float = bm25f.K1, b: float = bm25f.B) -> DataFrame:

@@ -1,0 +1,156 @@
+"""Patches, storage, syncing and streams."""
+
+import pytest
+
+from lexigrid.operators.index import SearchIndex, contiguous_versions, dense_ids
+from lexigrid.plans.options import IndexOptions
+from lexigrid.sources.storage import CatalogDriver, FolderDriver, storage_driver
+from lexigrid.streaming.ingest import running_term_counts, windowed_term_counts, write_patches
+
+SCHEMA = "id string, title string, content string"
+F6 = [("1", "greetings world", "hello"), ("2", "farewell", "goodbye world"), ("3", "say goodbye", "goodbye to you"), ("4", "say hello", "hello to you")]
+OPTIONS = IndexOptions(keep_documents=True, enable_autocomplete=True, order_by=("id",))
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def results(index, query="goodbye hello"):
+    return sorted((r.id, round(r.score, 12), r.doc) for r in index.search(query).collect())
+
+
+@pytest.fixture(scope="module")
+def base(spark):
+    return SearchIndex(spark, OPTIONS).insert(docs(spark, F6[:2]))
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    return SearchIndex(spark, OPTIONS).insert(docs(spark, F6))
+
+
+def test_patches_equal_one_build(spark, base, whole):
+    patched = base.apply_patch(base.create_patch(docs(spark, F6[2:])))
+    assert (base.version, patched.version, whole.version, patched.doc_count) == (0, 1, 0, 4)
+    assert results(patched) == results(whole)
+    assert sorted(r.word for r in patched.table("vocabulary").collect()) == sorted(r.word for r in whole.table("vocabulary").collect())
+    assert patched.clone().doc_count == 4 and results(patched.clone()) == results(whole)
+
+
+def test_patches_that_do_not_fit(spark, base):
+    patch = base.create_patch(docs(spark, F6[2:3]))
+    with pytest.raises(ValueError, match="version"):
+        base.apply_patch(patch).apply_patch(patch)
+    with pytest.raises(ValueError, match="index"):
+        SearchIndex(spark, OPTIONS).apply_patch(patch)
+    with pytest.raises(ValueError, match="Duplicate document ID: 2"):
+        base.create_patch(docs(spark, F6[1:3]))
+
+
+def test_removing(spark, whole):
+    less = whole.remove(["3"])
+    assert {r.id for r in less.search("goodbye").collect()} == {"2"}
+    assert {r.field: r.doc_count for r in less.table("field_stats").collect()} == {"title": 3, "content": 3}
+
+
+def test_written_and_read(spark, whole, tmp_path):
+    path = str(tmp_path / "index")
+    whole.save(path)
+    again = SearchIndex.load(spark, path)
+    assert results(again) == results(whole) and again.options.order_by == ("id",) and again.index_id == whole.index_id
+    again.save(path)  # over the files it reads from
+    assert results(SearchIndex.load(spark, path)) == results(whole)
+    assert results(SearchIndex.from_json(spark, whole.to_json())) == results(whole)
+    assert SearchIndex.load(spark, path, IndexOptions(id_field="other")).options.id_field == "other"
+    with pytest.raises(FileNotFoundError):
+        SearchIndex.load(spark, str(tmp_path / "nothing"))
+
+
+def test_drivers(spark, whole, tmp_path):
+    assert storage_driver(None) is None and storage_driver("catalog") == CatalogDriver()
+    assert storage_driver({"type": "folder", "path": "/x"}) == storage_driver("/x") == FolderDriver("/x")
+    with pytest.raises(ValueError, match="Unknown storage driver type."):
+        storage_driver("floppy")
+
+    class Memory:
+        kept = None
+
+        def get(self, spark):
+            return self.kept
+
+        def persist(self, spark, description, tables):
+            self.kept = (description, tables)
+
+        def delete(self, spark):
+            self.kept = None
+
+    for driver in (FolderDriver(str(tmp_path / "f")), Memory()):
+        assert driver.get(spark) is None
+        driver.persist(spark, whole.description(), whole.tables)
+        description, tables = driver.get(spark)
+        assert description["doc_count"] == 4 and sorted(tables) == sorted(whole.tables)
+        driver.delete(spark)
+        assert driver.get(spark) is None
+
+
+def test_sync(spark, base, whole, tmp_path):
+    patch_url, index_url = f"{tmp_path}/patch-{{version}}", f"{tmp_path}/remote"
+    now = base
+    for v, row in ((1, F6[2:3]), (2, F6[3:])):
+        patch = now.create_patch(docs(spark, row))
+        patch.write(spark, patch_url.replace("{version}", str(v)))
+        now = now.apply_patch(patch)
+    base.save(index_url)
+    store = FolderDriver(str(tmp_path / "store"))
+    options = IndexOptions(index_url=index_url, patch_url=patch_url, storage=store, order_by=("id",))
+    first, result = SearchIndex(spark, options).sync()
+    assert (result.has_loaded_index_from_storage, result.has_loaded_index_from_remote, result.number_of_applied_patches, result.has_written_to_storage) == (False, True, 0, True)
+    assert first.doc_count == 2 and result.bytes_loaded > 0
+    dry, result = SearchIndex(spark, options).sync(dry_run=True)
+    assert dry.version == 0 and result.number_of_applied_patches == 2 and not result.has_written_to_storage
+    one, result = SearchIndex(spark, options).sync(max_version_updates=1, persist=False)
+    assert one.version == 1 and result.has_loaded_index_from_remote and result.has_loaded_index_from_storage
+    second, result = SearchIndex(spark, options).sync()
+    assert (result.has_loaded_index_from_storage, result.has_loaded_index_from_remote, result.number_of_applied_patches) == (True, False, 2)
+    assert results(second) == results(whole)
+    offline, result = SearchIndex(spark, options).sync(offline=True)
+    assert offline.version == 2 and result.bytes_loaded == 0
+    nothing, result = SearchIndex(spark, IndexOptions()).sync()
+    assert nothing.doc_count == 0 and not result.has_written_to_storage and not result.has_loaded_index_from_remote
+
+
+def test_contiguous_versions(spark):
+    table = spark.createDataFrame([(v,) for v in (1, 2, 3, 3, 5, 6)], "version int")
+    got = lambda after: sorted(r.version for r in contiguous_versions(table, after).collect())
+    assert got(0) == [1, 2, 3] and got(2) == [3] and got(3) == [] and got(4) == [5, 6] and got(9) == []
+
+
+def test_dense_ids(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "k int, v string").repartition(9)
+    got = dense_ids(rows, ["k"], 10).collect()
+    assert {r.k: r.internal_id for r in got} == {k: k + 10 for k in range(101)}
+    assert sorted(r.internal_id for r in dense_ids(rows, None).collect()) == list(range(101))
+
+
+def test_streams(spark, base, whole, tmp_path):
+    patch_url = f"{tmp_path}/patch-{{version}}"
+    for row in F6[2:]:
+        docs(spark, [row]).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = write_patches(stream(), base, patch_url, f"{tmp_path}/checkpoint")
+    query.awaitTermination(120)
+    from dataclasses import replace
+
+    followed, result = replace(base, options=replace(base.options, patch_url=patch_url)).sync(persist=False)
+    assert result.number_of_applied_patches >= 1 and followed.doc_count == 4
+    assert [(r[0], r[1]) for r in results(followed)] == [(r[0], r[1]) for r in results(whole)]
+    counts = running_term_counts(stream(), "content").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    counts.awaitTermination(60)
+    assert {r.term: r.n for r in spark.table("counts").collect()} == {"goodbye": 1, "to": 2, "you": 2, "hello": 1}
+
+
+def test_windowed_counts(spark):
+    rows = spark.createDataFrame([("2024-01-01 10:05:00", "a b"), ("2024-01-01 10:50:00", "a"), ("2024-01-01 11:10:00", "a")], "at string, text string")
+    got = windowed_term_counts(rows.selectExpr("cast(at as timestamp) as ts", "text"), "text", "ts").collect()
+    assert sorted((r.window.start.hour, r.term, r.n) for r in got) == [(10, "a", 2), (10, "b", 1), (11, "a", 1)]
