@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,6 +17,8 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A single-machine session for tests and benchmarks; on a cluster bring your own."""
@@ -28,8 +32,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **more: s
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package: from where the driver found it, and on a cluster from a copy sent to them."""
     root = str(Path(__file__).resolve().parents[1])
+    if not spark.sparkContext.master.startswith("local") and spark.sparkContext.applicationId not in _shipped:
+        base = Path(tempfile.mkdtemp(prefix="lexigrid-ship-")) / "lexigrid"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root, "lexigrid"))
+        _shipped.add(spark.sparkContext.applicationId)
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:

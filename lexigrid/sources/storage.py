@@ -13,7 +13,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import byte_size, delete, exists, read_text, write_text
+from .tables import byte_size, delete, exists, hadoop_path, read_text, write_text
 
 Stored = tuple[dict, dict[str, DataFrame]]
 
@@ -53,6 +53,13 @@ class FolderDriver:
     def delete(self, spark: SparkSession) -> None:
         delete(spark, self.path)
 
+    def vacuum(self, spark: SparkSession) -> int:
+        """Delete the tables of former versions, once nothing reads them; gives their number."""
+        current = json.loads(read_text(spark, f"{self.path}/description.json"))["folder"]
+        system, at = hadoop_path(spark, self.path)
+        old = [str(s.getPath()) for s in system.listStatus(at) if s.getPath().getName().startswith("data-") and s.getPath().getName() != current]
+        return sum(bool(delete(spark, path)) for path in old)
+
     def byte_size(self, spark: SparkSession) -> int:
         """Bytes of the current version; 0 if there is none."""
         if not exists(spark, f"{self.path}/description.json"):

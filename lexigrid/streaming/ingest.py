@@ -16,16 +16,18 @@ def write_patches(docs: DataFrame, index: SearchIndex, patch_url: str, checkpoin
 
     ``patch_url`` holds ``{version}``; readers follow with ``SearchIndex.sync``.
     """
-    spark = index.spark
+    spark, state = index.spark, {"index": index}
+
+    def url(version: int) -> str:
+        return patch_url.replace("{version}", str(version))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        now, version = index, index.version + batch_id + 1
-        path = patch_url.replace("{version}", str(version))
-        if exists(spark, f"{path}/description.json"):
-            return
-        for v in range(index.version + 1, version):
-            now = now.apply_patch(Patch.read(spark, patch_url.replace("{version}", str(v))))
-        now.create_patch(batch).write(spark, path)
+        now, version = state["index"], index.version + batch_id + 1
+        while now.version < version - 1:  # after a restart
+            now = now.apply_patch(Patch.read(spark, url(now.version + 1)))
+        if not exists(spark, f"{url(version)}/description.json"):
+            now.create_patch(batch).write(spark, url(version))
+        state["index"] = now.apply_patch(Patch.read(spark, url(version))) if now.version < version else now
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -61,6 +61,7 @@ def test_written_and_read(spark, whole, tmp_path):
     assert results(again) == results(whole) and again.options.order_by == ("id",) and again.index_id == whole.index_id
     again.save(path)  # over the files it reads from
     assert results(SearchIndex.load(spark, path)) == results(whole)
+    assert FolderDriver(path).vacuum(spark) == 1 and results(SearchIndex.load(spark, path)) == results(whole)
     assert results(SearchIndex.from_json(spark, whole.to_json())) == results(whole)
     assert SearchIndex.load(spark, path, IndexOptions(id_field="other")).options.id_field == "other"
     with pytest.raises(FileNotFoundError):
