@@ -74,8 +74,14 @@ class Link:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the greatest F1, half way (in log-odds) between the scores around it; 0.5 without both classes."""
-    if not len(y) or y.min() == y.max():
+    """The cut with the greatest F1, half way (in log-odds) between the scores around it.
+
+    Without a case of the category nothing can be told, and 1 assigns it to no document;
+    with nothing but cases it is 0.5.
+    """
+    if not len(y) or y.max() == 0:
+        return 1.0
+    if y.min() == 1:
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
