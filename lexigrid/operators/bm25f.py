@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer
+from .ordering import dense_ids
 
 K1, B = 1.2, 0.75
 
@@ -74,13 +75,14 @@ def term_scores(post: DataFrame, weights: dict[str, float], n: int, average: flo
 
 def rank_one(scores: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """(rank, internal_id, score) of the page, best first, then by id."""
-    total = scores.groupBy("internal_id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "internal_id")
-    if offset:
-        total = total.offset(offset)
-    if limit is not None:
-        total = total.limit(limit)
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "internal_id")) + offset
-    return total.select(place.alias("rank"), "internal_id", "score")
+    total = scores.groupBy("internal_id").agg(F.sum("score").alias("score"))
+    best = [F.desc("score"), F.col("internal_id")]
+    if limit is None:  # a whole ranking has no bound, so it is placed by ranges
+        placed = dense_ids(total, best, 1, "rank").filter(F.col("rank") > offset)
+        return placed.select(F.col("rank").cast("int").alias("rank"), "internal_id", "score")
+    page = total.orderBy(*best)
+    page = page.offset(offset).limit(limit) if offset else page.limit(limit)
+    return page.select((F.row_number().over(Window.orderBy(*best)) + offset).alias("rank"), "internal_id", "score")
 
 
 def rank_many(scores: DataFrame, queries: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

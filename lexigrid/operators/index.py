@@ -22,6 +22,7 @@ from . import bm25f
 from .flatten import flatten
 from .fuzzy import auto_expansions, fuzzy_matches, prefix_matches
 from .highlight import highlight
+from .ordering import dense_ids
 
 SCHEMAS = {
     "postings": "term string, internal_id long, field string, tf int, dl int",
@@ -33,28 +34,6 @@ SCHEMAS = {
 MAX_VERSION_UPDATES = 1000
 
 
-def dense_ids(df: DataFrame, order_by: list[str] | None, start: int = 0) -> DataFrame:
-    """``df`` with ``internal_id``: start, start + 1, ... in the given order, else in the order read.
-
-    Rows are written sorted by range; then a count for each partition gives its first
-    id, so no single task sees all rows.
-    """
-    placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
-    # the partition is in the high bits, the row within it in the low 33
-    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_place", 33)
-    counts = sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    firsts, at = [], start
-    for part_no, n in counts:
-        firsts.append((part_no, at))
-        at += n
-    first = df.sparkSession.createDataFrame(firsts, "_part long, _first long")
-    return (
-        placed.withColumn("_part", part).join(F.broadcast(first), "_part")  # a row for each partition
-        .withColumn("internal_id", F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_first", "_place")
-    )
-
-
 @dataclass(frozen=True)
 class Patch:
     index_id: str

@@ -2,7 +2,8 @@
 
 import pytest
 
-from lexigrid.operators.index import SearchIndex, contiguous_versions, dense_ids
+from lexigrid.operators.index import SearchIndex, contiguous_versions
+from lexigrid.operators.ordering import dense_ids
 from lexigrid.plans.options import IndexOptions
 from lexigrid.sources.storage import CatalogDriver, FolderDriver, storage_driver
 from lexigrid.streaming.ingest import running_term_counts, windowed_term_counts, write_patches
