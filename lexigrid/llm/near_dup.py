@@ -12,6 +12,10 @@ their postings collide in at least ``t`` of the ``K`` coordinates.
   only the first ``n - t + 1`` are joined.  Two documents that collide ``t``
   times or more always meet in one of those (any ``t`` of ``n`` lists reach into
   the first ``n - t + 1``, and both order the common ones alike).
+* *Equal lists*: a list is known by its length and the XOR of its documents'
+  hashes, so lists with the same documents are one list and are joined once.
+  (Should different lists ever share both, they are merged together, at no
+  loss: a link is made only after the signatures were compared.)
 * *Merge*: each list is merged once.  Documents found linked are not compared
   again, so a list holding one group of ``m`` copies takes about ``m``
   comparisons and yields ``m - 1`` verified links, not ``m**2 / 2`` pairs; the
@@ -147,14 +151,18 @@ def near_duplicate_groups(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MA
     members = signatures(docs, k, shingle).groupBy("sig").agg(F.collect_set("doc_id").alias("ids"))
     classes = materialize(members.select("sig", F.array_min("ids").alias("rep"), "ids"), "classes")
     by_token = Window.partitionBy("token")
-    shared = _postings(classes, k).withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1")
+    shared = (
+        _postings(classes, k)
+        .select("rep", F.count(F.lit(1)).over(by_token).cast("int").alias("df"), F.expr("bit_xor(xxhash64(rep))").over(by_token).alias("list"))
+        .filter("df > 1")
+    )
     prefix = (
-        shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("lists"))
+        shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "list"))).alias("lists"))
         # a document of several signatures has up to k lists for each; keep what any one of them needs
         .filter(F.size("lists") >= t)
-        .select("rep", F.expr(f"slice(lists, 1, size(lists) - {t} + 1)").alias("lists"))
+        .select("rep", F.array_distinct(F.expr(f"slice(lists, 1, size(lists) - {t} + 1)")).alias("lists"))
     )
-    prefixed = classes.select("rep", "sig").join(prefix, "rep").select(F.explode("lists.token").alias("token"), "rep", "sig")
+    prefixed = classes.select("rep", "sig").join(prefix, "rep").select(F.explode("lists.list").alias("token"), "rep", "sig")
     links = _links(prefixed, k, t).groupBy("u", "v").agg(F.max("matches").alias("matches"))
     copies = classes.filter("size(ids) > 1").select(
         F.explode("ids").alias("u"), F.col("rep").alias("v"), F.lit(k).cast("int").alias("matches")
