@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexigrid.llm import bpe
 
@@ -58,3 +60,13 @@ def test_pieces_stay_bounded(monkeypatch):
     first = [coder.encode(f"word{i}").tolist() for i in range(50)]
     assert len(coder.pieces) <= 10 and first == [coder.encode(f"word{i}").tolist() for i in range(50)]
     assert isinstance(coder.encode("a"), np.ndarray)
+
+
+CODER = bpe.Codec()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab1 \n\t.!'sé日😀\u00a0"), max_size=120), st.integers(4, 30), st.integers(1, 12))
+def test_any_text_any_cut(text, chunk, overlap):
+    assert CODER.pretokens(text, chunk, overlap) == CODER._split(text)
+    assert CODER.decode_bytes(CODER.encode(text)) == text.encode()
