@@ -101,7 +101,9 @@ def _scores_sql(weights: dict[str, float], terms: str, k1: float = bm25f.K1, b:
 
 
 _TOTAL = " SELECT doc_id, round(sum(score), 6) AS score FROM scores GROUP BY doc_id"
-_SUMMED = ", summed AS (SELECT doc_id, sum(score) AS score FROM scores GROUP BY doc_id), ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM summed)"
+#: added in the order of the terms, so that equal documents tie
+_ADDED = "list_reduce(list(score ORDER BY term), lambda a, b: a + b) AS score"
+_SUMMED = f", summed AS (SELECT doc_id, {_ADDED} FROM scores GROUP BY doc_id), ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM summed)"
 _TERMS = _list(TERMS)
 EVEN = {f: 1.0 for f in FIELDS}
 HEAVY = {"text": 2.5, "source": 1.0}
@@ -207,7 +209,7 @@ def bm25f_with_docs(spark, sf_dir):
 @query(
     "bm25f_batch",
     _scores_sql({"text": 1}, "SELECT term FROM q") .replace("WITH ", "WITH q AS (SELECT DISTINCT item_id, lower(token) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\w+')) AS token FROM benchmark)), ", 1)
-    + ", summed AS (SELECT item_id, doc_id, sum(score) AS score FROM scores JOIN q USING (term) GROUP BY item_id, doc_id), "
+    + f", summed AS (SELECT item_id, doc_id, {_ADDED} FROM scores JOIN q USING (term) GROUP BY item_id, doc_id), "
     "ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM summed) "
     "SELECT item_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
 )

@@ -73,9 +73,18 @@ def term_scores(post: DataFrame, weights: dict[str, float], n: int, average: flo
     return per_doc.join(found, "term").select("term", "internal_id", (F.col("tf") / (F.col("tf") + norm) * idf).alias("score"))
 
 
+def summed(scores: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., score) over the terms, added in the order of the terms.
+
+    So equal documents have equal scores to the last bit, however the rows arrived, and tie.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("term", "score")))
+    return scores.groupBy(*keys).agg(F.aggregate(parts, F.lit(0.0), lambda total, p: total + p["score"]).alias("score"))
+
+
 def rank_one(scores: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """(rank, internal_id, score) of the page, best first, then by id."""
-    total = scores.groupBy("internal_id").agg(F.sum("score").alias("score"))
+    total = summed(scores, "internal_id")
     best = [F.desc("score"), F.col("internal_id")]
     if limit is None:  # a whole ranking has no bound, so it is placed by ranges
         placed = dense_ids(total, best, 1, "rank").filter(F.col("rank") > offset)
@@ -87,8 +96,8 @@ def rank_one(scores: DataFrame, limit: int | None = None, offset: int = 0) -> Da
 
 def rank_many(scores: DataFrame, queries: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """(query_id, rank, internal_id, score) for a table (query_id, term) of any size, in one job."""
-    total = queries.select("query_id", "term").distinct().join(scores, "term").groupBy("query_id", "internal_id").agg(F.sum("score").alias("score"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "internal_id")))
+    matched = queries.select("query_id", "term").distinct().join(scores, "term")
+    ranked = summed(matched, "query_id", "internal_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "internal_id")))
     if limit is not None:
         ranked = ranked.filter(F.col("rank") <= offset + limit)
     return ranked.filter(F.col("rank") > offset).select("query_id", "rank", "internal_id", "score")
