@@ -111,12 +111,14 @@ def fit_chain(flat: np.ndarray, row: np.ndarray, shares: np.ndarray, labels: np.
     chain: list[Link] = []
     earlier = np.zeros((n, 0))
     fold = np.arange(n) % FOLDS
+    # the driver's memory holds each occurrence as a 32-bit code
+    coded = pa.array(flat).dictionary_encode()
+    vocabulary, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
     for c in range(labels.shape[1]):
         known = labels[:, c] >= 0
         y = (labels[:, c] == 1).astype(float)
-        vocabulary, inverse = np.unique(flat[known[row]], return_inverse=True)
-        present = np.bincount(inverse, minlength=len(vocabulary))
-        positive = np.bincount(inverse, y[row][known[row]], minlength=len(vocabulary))
+        present = np.bincount(code[known[row]], minlength=len(vocabulary))
+        positive = np.bincount(code[(known & (y > 0))[row]], minlength=len(vocabulary))
         chi = chi_square(present, positive, int(known.sum()), int(y[known].sum()))
         chi[(present < MIN_PRESENT) | (chi < MIN_CHI)] = 0
         best = np.lexsort((vocabulary, -chi))[:MAX_WORDS]
@@ -200,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     lists = rows["words"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     n = rows.num_rows
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    row = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
     shares = np.array(rows["shares"].to_pylist(), float).reshape(n, 4)
     labelled = np.column_stack([rows[y].to_numpy() for y in names]) if n else np.zeros((0, len(names)), int)
     return fit_chain(flat, row, shares, labelled)
