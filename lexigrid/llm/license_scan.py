@@ -47,7 +47,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
     ("mit-name", r"(?:the )?(?:mit|expat) license(?: mit)?|(?:this (?:work|file|software|project) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-notice", r"the above copyright notice and this permission notice " r"shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("bsd-name-{0}", r"(?:the )?bsd ([23]) clause license|(?:released|licensed|distributed) under the bsd ([23]) clause license"),

@@ -4,28 +4,32 @@ from lexigrid.llm import license_scan as ls
 from lexigrid.llm.decontam import normal_texts
 
 SCHEMA = "doc_id long, text string, licences string, status int, row int"
-MIT = """MIT License
-
-Copyright (c) 2021 Ada Example
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE.
-"""
+MIT = "\n".join(
+    [
+        "MIT License",
+        "",
+        "Copyright (c) 2021 Ada Example",
+        "",
+        "Permission is hereby granted, free " "of charge, to any person " "obtaining a copy",
+        "of this software and associated " 'documentation files (the "Software"), to ' "deal",
+        "in the Software without restriction, " "including without limitation the rights",
+        "to use, copy, modify, merge, " "publish, distribute, sublicense, and/or sell",
+        "copies of the Software, and " "to permit persons to whom " "the Software is",
+        "furnished to do so, subject " "to the following conditions:",
+        "",
+        "The above copyright notice and " "this permission notice shall be " "included in all",
+        "copies or substantial portions of " "the Software.",
+        "",
+        'THE SOFTWARE IS PROVIDED "AS ' 'IS", WITHOUT WARRANTY OF ANY ' "KIND, EXPRESS OR",
+        "IMPLIED, INCLUDING BUT NOT LIMITED " "TO THE WARRANTIES OF MERCHANTABILITY,",
+        "FITNESS FOR A PARTICULAR PURPOSE " "AND NONINFRINGEMENT. IN NO EVENT " "SHALL THE",
+        "AUTHORS OR COPYRIGHT HOLDERS BE " "LIABLE FOR ANY CLAIM, DAMAGES " "OR OTHER",
+        "LIABILITY, WHETHER IN AN ACTION " "OF CONTRACT, TORT OR OTHERWISE, " "ARISING FROM,",
+        "OUT OF OR IN CONNECTION " "WITH THE SOFTWARE OR THE " "USE OR OTHER DEALINGS IN " "THE",
+        "SOFTWARE.",
+        "",
+    ]
+)
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
