@@ -95,7 +95,7 @@ def _scores_sql(weights: dict[str, float], terms: str, k1: float = bm25f.K1, b:
         "size AS (SELECT CAST(max(n) AS DOUBLE) AS n, sum(weight * total) / max(n) AS average FROM st JOIN w USING (field)), "
         f"td AS (SELECT term, doc_id, sum(weight * tf) AS tf, sum(weight * dl) AS dl FROM post JOIN lens USING (doc_id, field) JOIN w USING (field) WHERE term IN ({terms}) GROUP BY term, doc_id), "
         "df AS (SELECT term, count(*) AS df FROM td GROUP BY term), "
-        f"scores AS (SELECT term, doc_id, tf / (tf + CAST({k1} AS DOUBLE) * (1 - CAST({b} AS DOUBLE) + CAST({b} AS DOUBLE) * dl / average)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS score "
+        f"scores AS (SELECT term, doc_id, tf / (tf + CAST({k1} AS DOUBLE) * (1 - CAST({b} AS DOUBLE) + CAST({b} AS DOUBLE) * dl / average)) * ln((n + 1) / (df + 0.5)) AS score "
         "FROM td JOIN df USING (term) CROSS JOIN size)"
     )
 

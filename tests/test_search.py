@@ -9,7 +9,7 @@ from lexigrid.operators.evaluate import mean_ndcg, ndcg
 from lexigrid.operators.index import SearchIndex
 from lexigrid.plans.options import IndexOptions, SearchOptions
 
-F1 = [("1", "The quick brown fox", "A speedy canine"), ("2", "Jumps over the lazy dog", "High leap"), ("3", "Bright blue sky", "Clear and sunny day")]
+F1 = [("1", "The quick brown fox", "A speedy canine")] + [("2", "Jumps over the lazy dog", "High leap"), ("3", "Bright blue sky", "Clear and sunny day")]
 F2 = [("1", "greetings world", "hello"), ("2", "farewell", "goodbye world")]
 
 
@@ -81,7 +81,8 @@ def test_highlighting(spark, greetings):
     got = greetings.search("farewell world", fields=["title", "content^2"], highlighted_fields=["title", "content"]).orderBy("rank").collect()
     assert [(r.highlighted_title, r.highlighted_content) for r in got] == [("<b>farewell</b>", "goodbye <b>world</b>"), ("greetings <b>world</b>", "hello")]
     assert got[0].score == pytest.approx(0.5797249312081063)
-    text = "Hello, how are you? I am fine, thank you. How is the weather in New York? It is sunny. How is the weather in London? It is rainy."
+    asked = "How is the weather in {}? It is {}."
+    text = " ".join(["Hello, how are you?", "I am fine, thank you.", asked.format("New York", "sunny"), asked.format("London", "rainy")])
     english = index(spark, [("1", "greetings world", text)], language="english")
     got = english.search("How is the weather in London? Is it sunny?", highlighted_fields=["title", "content"]).first()
     marked = text.replace("weather", "<b>weather</b>").replace("sunny", "<b>sunny</b>").replace("London", "<b>London</b>")
