@@ -16,6 +16,7 @@ from .operators.fuzzy import auto_expansions, fuzzy_join, fuzzy_matches, nearest
 from .operators.highlight import highlight
 from .operators.index import SearchIndex, contiguous_versions
 from .plans.options import IndexOptions
+from .sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,9 +53,9 @@ def texts(spark: SparkSession, sf_dir: str, analyzer: analysis.Analyzer | None =
 
 def searched(spark: SparkSession, sf_dir: str, weights: dict[str, float], terms: list[str] = TERMS, k1: float = bm25f.K1, b: float = bm25f.B, analyzer=None, **what) -> DataFrame:
     """Scores without an index: the texts are read for the terms asked for, and for the lengths."""
-    found = texts(spark, sf_dir, analyzer, **what)
-    n, average = bm25f.collection_size(bm25f.field_stats(bm25f.field_lengths(found)), weights)
-    return bm25f.term_scores(bm25f.postings(found, terms), weights, n, average, k1, b)
+    hits = materialize(bm25f.term_hits(texts(spark, sf_dir, analyzer, **what), terms), "hits")  # the texts are read once
+    n, average = bm25f.collection_size(bm25f.field_stats(hits), weights)
+    return bm25f.term_scores(bm25f.unfold(hits), weights, n, average, k1, b)
 
 
 def ranked(scores: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -26,13 +26,24 @@ def _kept(terms: str = "terms") -> Column:
     return F.filter(terms, lambda t: t != "")
 
 
-def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(term, internal_id, field, tf, dl) of analysed texts; ``only`` these terms, chosen before any row is made or moved."""
+def term_hits(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(internal_id, field, dl, wanted): each text's length and its terms, or those of ``only``, chosen before any row is made or moved."""
     wanted = _kept() if only is None else F.filter("terms", lambda t: t.isin(*only))
-    rows = texts.select("internal_id", "field", F.size(_kept()).alias("dl"), F.explode(wanted).alias("term"))
+    return texts.select("internal_id", "field", F.size(_kept()).alias("dl"), wanted.alias("wanted"))
+
+
+def unfold(hits: DataFrame) -> DataFrame:
+    """(term, internal_id, field, tf, dl) of term hits."""
+    # the length was computed before this, once for a text and not for each of its terms
+    rows = hits.select("internal_id", "field", "dl", F.explode("wanted").alias("term"))
     return rows.groupBy("term", "internal_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
+def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(term, internal_id, field, tf, dl) of analysed texts."""
+    return unfold(term_hits(texts, only))
+
+
 def field_lengths(texts: DataFrame) -> DataFrame:
     """(internal_id, field, dl); a text without a term has length 0 and counts."""
     return texts.select("internal_id", "field", F.size(_kept()).alias("dl"))
