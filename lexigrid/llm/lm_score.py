@@ -2,17 +2,17 @@
 
 The symbols are the bytes of the text, with ``ORDER - 1`` begin marks before it
 and one end mark after it.  All n-grams of all documents are counted.  An n-gram
-of at least ``MIN_COUNT[n]`` occurrences is an arc of the automaton, from the
-state of its context to the state of its longest suffix that is itself a state;
-its weight is the interpolated Witten-Bell log-probability.  A state that lacks
-the next symbol is left by its failure arc, whose weight makes the state's
-probabilities sum to one, to the state of its longest proper suffix.
-
-Documents are scored in blocks.  A block asks for the arcs and states that its
-own n-grams can touch and gets them by joins, so that no worker and no
-broadcast holds the model of the whole corpus.  Within a block all texts are
-traversed together, left to right, in segments: a segment begins ``ORDER - 1``
-symbols early, which settles its state.
+of at least ``MIN_COUNT[n]`` occurrences, which is every one, is an arc of the
+automaton, from the state of its context to the state of its longest suffix that
+is itself a state; its weight is the interpolated Witten-Bell log-probability.  A
+state that lacks the next symbol is left by its failure arc, whose weight makes
+the state's probabilities sum to one, to the state of its longest proper suffix.
+
+Documents are scored in blocks.  All of a block's n-grams are counted, so its texts
+only touch arcs of full length and never fail: it asks for the weights of those
+and gets them by a join, so that no worker and no broadcast holds the model of the
+whole corpus.  Within a block all texts are traversed together, left to right, in
+segments: the ``ORDER - 1`` symbols before a segment give its state.
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ from .textkit import buffers
 
 ORDER = 5
 #: n -> occurrences in the corpus below which an n-gram is no arc; must not fall with n
-MIN_COUNT = {1: 1, 2: 1, 3: 1, 4: 2, 5: 2}
+MIN_COUNT = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
 BLOCK_BYTES = 16 << 20
 SEGMENT = 1024
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 256  # that may follow: every byte value but one, and the end
 
 _STATE = 1 << 60
+_TAG_AT = 52
 _COUNT_BYTES = 4 << 20
 
 
 def _tag(order: int) -> int:
-    return order << 52
+    return order << _TAG_AT
 
 
 def framed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +85,11 @@ def _cuts(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def block_ngrams(table: pa.Table) -> pa.Table:
-    """(block, gram, n): a block's full n-grams with their numbers, and, with n = 0, all it may ask for."""
+    """(block, gram, n): a block's full n-grams with their numbers."""
     raw, off = buffers(table.column("text").combine_chunks())
     key, n = _merge([_count(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in _cuts(off, _COUNT_BYTES)])
-    asked = [np.unique(key & ((1 << 8 * k) - 1)) | _tag(k) for k in range(1, ORDER)]
-    contexts = np.unique(key >> 8)
-    states = [np.unique(contexts & ((1 << 8 * k) - 1)) | _tag(k) | _STATE for k in range(1, ORDER)]
-    grams = np.concatenate([key | _tag(ORDER), *asked, *states])
-    counts = np.concatenate([n, np.zeros(len(grams) - len(n), np.int64)])
-    block = pa.array(np.full(len(grams), table.column("block")[0].as_py(), np.int64))
-    return pa.table([block, pa.array(grams), pa.array(counts)], ["block", "gram", "n"])
+    block = pa.array(np.full(len(key), table.column("block")[0].as_py(), np.int64))
+    return pa.table([block, pa.array(key | _tag(ORDER)), pa.array(n)], ["block", "gram", "n"])
 
 
 def smooth(key: np.ndarray, n: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,12 +122,13 @@ def _smooth_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     table = pa.Table.from_batches(parts)
     key, n, q = (table.column(c).to_numpy() for c in ("key", "n", "q"))
     for gram, weight in smooth(key, n, q):
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(weight)], ["gram", "weight"])
+        full = gram >> _TAG_AT == ORDER  # a state has another mark besides
+        yield pa.RecordBatch.from_arrays([pa.array(gram[full]), pa.array(weight[full])], ["gram", "weight"])
 
 
 def _model(grams: DataFrame) -> DataFrame:
-    """(gram, weight): every arc and state of the automaton, from (gram, n) of full n-grams."""
-    full = grams.filter(F.shiftright("gram", 52) == ORDER).groupBy("gram").agg(F.sum("n").alias("n"))
+    """(gram, weight): every arc of full length, from (gram, n) of full n-grams."""
+    full = grams.groupBy("gram").agg(F.sum("n").alias("n"))
     full = full.select((F.col("gram").bitwiseAND((1 << 8 * ORDER) - 1)).alias("key"), "n")
     # orders 1 and 2 have at most 256 and 65,536 n-grams, whatever the corpus
     pairs = full.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n"))
@@ -146,24 +143,11 @@ def _model(grams: DataFrame) -> DataFrame:
         F.size(F.collect_set("last").over(whole)).alias("kinds_all"),
     ).withColumn("q1", (F.col("n_last") + F.col("kinds_all") / F.lit(float(SYMBOLS))) / (F.col("n_all") + F.col("kinds_all")))
     low = low.withColumn("q2", (F.col("n") + F.col("kinds") * F.col("q1")) / (F.col("n_first") + F.col("kinds")))
-    arcs = low.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("pair").bitwiseOR(_tag(2)).alias("gram"), F.log("q2").alias("weight")),
-                F.struct(F.col("last").bitwiseOR(_tag(1)).alias("gram"), F.log("q1").alias("weight")),
-                F.struct(
-                    F.col("first").bitwiseOR(_tag(1) | _STATE).alias("gram"),
-                    F.log(F.col("kinds") / (F.col("n_first") + F.col("kinds"))).alias("weight"),
-                ),
-            )
-        )
-    ).groupBy("gram").agg(F.max("weight").alias("weight"))
     keyed = full.join(F.broadcast(low.select("pair", F.col("q2").alias("q"))), F.col("key").bitwiseAND(0xFFFF) == F.col("pair"))
-    high = (
+    return (
         keyed.select("key", "n", "q").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
         .mapInArrow(_smooth_partition, "gram long, weight double")
     )
-    return arcs.unionByName(high)
 
 
 class Automaton:
@@ -177,13 +161,13 @@ class Automaton:
         order = np.argsort(plain[is_state], kind="stable")
         self.names = np.r_[0, names]
         self.back = np.r_[0.0, weight[is_state][order]]
-        length = self.names >> 52
+        length = self.names >> _TAG_AT
         self.fail = np.zeros(len(self.names), np.int64)
         for k in range(2, ORDER):
             mine = np.flatnonzero(length == k)
             self.fail[mine] = self.longest(self.names[mine] & ((1 << 8 * (k - 1)) - 1), k - 1)
         arcs, weights = plain[~is_state], weight[~is_state]
-        n = arcs >> 52
+        n = arcs >> _TAG_AT
         source, target = np.zeros(len(arcs), np.int64), np.zeros(len(arcs), np.int64)
         known = np.zeros(len(arcs), bool)
         for k in range(1, ORDER + 1):
@@ -272,9 +256,10 @@ class Automaton:
         state = np.full(len(begin), self.start, np.int64)
         inner = np.flatnonzero(nth > 0)
         if len(inner):
-            state[inner] = 0
+            before = np.zeros(len(inner), np.int64)
             for j in range(ORDER - 1, 0, -1):
-                state[inner], _ = self.step(state[inner], flat[begin[inner] - j].astype(np.int64))
+                before = before << 8 | flat[begin[inner] - j]
+            state[inner] = self.longest(before, ORDER - 1)
         total = np.zeros(len(begin))
         active = np.searchsorted(-size, -np.arange(int(size.max()) if len(size) else 0), side="left")
         for t, m in enumerate(active):
@@ -290,7 +275,9 @@ def _score_block(docs: pa.Table, model: pa.Table) -> pa.Table:
     out = np.zeros(n)
     size = np.zeros(n, np.int64)
     if n:
-        automaton = Automaton(model.column("gram").to_numpy(), model.column("weight").to_numpy())
+        gram = model.column("gram").to_numpy()
+        states = np.unique((gram & (_tag(1) - 1)) >> 8) | _tag(ORDER - 1) | _STATE  # none fails, so without weights
+        automaton = Automaton(np.concatenate([gram, states]), np.concatenate([model.column("weight").to_numpy(), np.zeros(len(states))]))
         raw, off = buffers(docs.column("text").combine_chunks())
         size = np.diff(off) + 1
         for a, b in _cuts(off, BLOCK_BYTES):
@@ -312,7 +299,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     blocks = partitions_for(size, block_bytes)
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("block", "doc_id", "text")
     grams = blocked.groupBy("block").applyInArrow(block_ngrams, "block long, gram long, n long").repartition("gram")
-    # the weights that each block asks for
+    # the weights of each block's own n-grams
     asked = grams.select("block", "gram").join(_model(grams.select("gram", "n")).hint("shuffle_hash"), "gram").select("block", "gram", "weight")
     scored = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         _score_block, "doc_id long, n_symbols long, log_prob double, perplexity double"

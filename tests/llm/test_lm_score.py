@@ -106,3 +106,24 @@ def test_odd_rows(spark):
     assert by[1].log_prob is None and by[1].n_symbols is None and by[2].n_symbols == 1
     assert by[3].log_prob == by[None].log_prob
     assert lm.score_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ngrams_seen_once_keep_their_arcs(spark):
+    texts = ["abcdefgh", "stuvwxyz", "abcdefgh again"]
+    count, follow = Counter(), defaultdict(set)
+    for text in texts:
+        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+        for i in range(N - 1, len(s)):
+            for k in range(1, N + 1):
+                count[tuple(s[i - k + 1 : i])] += 1
+                count[tuple(s[i - k + 1 : i + 1]), "gram"] += 1
+                follow[tuple(s[i - k + 1 : i])].add(s[i])
+
+    def p(h, w):
+        lower = p(h[1:], w) if h else 1 / lm.SYMBOLS
+        return (count[(*h, w), "gram"] + len(follow[h]) * lower) / (count[h] + len(follow[h]))
+
+    got = {r.doc_id: r.log_prob for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+        assert got[i] == pytest.approx(sum(math.log(p(tuple(s[j - N + 1 : j]), s[j])) for j in range(N - 1, len(s))), rel=1e-9)
