@@ -4,8 +4,10 @@ A line's tokens are its words (see ``textkit``); a token with a digit is a
 variable field.  The tree sends a line to a leaf by its token count and its
 first ``DEPTH`` tokens.  In a leaf, lines join the template they agree with in
 at least ``SIMILARITY`` of the positions; positions that differ become variable.
-A template found in ``MIN_DOCS`` documents or more is recurring: its lines are
-dropped from every document but the one with the least doc_id.
+A template found in ``MIN_DOCS`` documents or more is recurring, one of
+``LONG_TOKENS`` tokens or more, which two documents don't share by chance, already
+in ``LONG_DOCS``: its lines are dropped from every document but the one with the
+least doc_id.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .textkit import Hasher, _pow, buffers, group_starts, mix64, slices, word_sp
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
+LONG_TOKENS = 8
+LONG_DOCS = 2
 MIN_TOKENS = 3
 
 _FIELD = np.uint64(0)
@@ -102,21 +106,22 @@ def grow_leaf(prints: list[bytes], similarity: float) -> list[int]:
 
 
 def _templates(distinct: DataFrame, similarity: float, min_docs: int) -> DataFrame:
-    """(line, template) of the templates with enough lines to recur."""
+    """(line, template, needed) of the templates with enough lines to recur in the documents needed."""
 
-    def leaf_rows(leaf: int, line: np.ndarray, prints: list[bytes], n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if n.sum() < min_docs:
+    def leaf_rows(leaf: int, line: np.ndarray, prints: list[bytes], n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        needed = min(LONG_DOCS, min_docs) if len(prints[0]) >= 2 * LONG_TOKENS else min_docs  # two bytes a token
+        if n.sum() < needed:
             return
         line, at, inverse = np.unique(line, return_index=True, return_inverse=True)
         n = np.bincount(inverse, n).astype(np.int64)
         given = np.array(grow_leaf([prints[i] for i in at], similarity) if len(line) > 1 else [0])
-        enough = np.bincount(given, n)[given] >= min_docs
+        enough = np.bincount(given, n)[given] >= needed
         least = np.full(given.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, given, line)
-        yield line[enough], least[given][enough]
+        yield line[enough], least[given][enough], needed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leaves() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def leaves() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             now, lines, prints, ns = None, [], [], []
             for part in batches:
                 if not part.num_rows:
@@ -135,11 +140,11 @@ def _templates(distinct: DataFrame, similarity: float, min_docs: int) -> DataFra
             if ns:
                 yield from leaf_rows(now, np.concatenate(lines), prints, np.concatenate(ns))
 
-        for line, template in leaves():
+        for line, template, needed in leaves():
             if len(line):
-                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(template)], ["line", "template"])
+                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(template), pa.array(np.full(len(line), needed, np.int32))], ["line", "template", "needed"])
 
-    return distinct.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "line long, template long")
+    return distinct.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "line long, template long, needed int")
 
 
 def _occurrences(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -161,10 +166,10 @@ def recurring_lines(
     """(doc, lines): the numbers, from 0, of the lines to drop from each document that has any."""
     texts = doc_text(docs).filter("doc_id is not null and text is not null")
     templates = _templates(_distinct_lines(texts, depth, min_tokens), similarity, min_docs)
-    found = _occurrences(texts, depth, min_tokens).join(templates, "line").select("template", "doc_id", "line_no")
-    per_doc = found.groupBy("template", "doc_id").agg(F.collect_set("line_no").alias("lines"))
+    found = _occurrences(texts, depth, min_tokens).join(templates, "line").select("template", "needed", "doc_id", "line_no")
+    per_doc = found.groupBy("template", "needed", "doc_id").agg(F.collect_set("line_no").alias("lines"))
     holders = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("keeper"))
-    dropped = per_doc.join(holders.filter(F.col("docs") >= min_docs), "template").filter("doc_id <> keeper")
+    dropped = per_doc.join(holders, "template").filter("docs >= needed").filter("doc_id <> keeper")
     return dropped.groupBy(F.col("doc_id").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 

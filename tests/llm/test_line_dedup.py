@@ -69,3 +69,11 @@ def test_other_columns_follow(spark):
     rows = [(i, f"the very same line here\nkept {i} {'abc'[i]}") for i in range(3)]
     got = {r.doc_id: r for r in ld.drop_recurring_lines(frame(spark, rows)).collect()}
     assert got[2].text == "kept 2 c" and got[2].n_chars == 8 and got[2].lines == "l" and got[0].n_chars == len(rows[0][1])
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")  # 64 words
+    rows = [(1, f"own opening words of one\n{passage}"), (2, f"{passage}\nsomething else entirely in another"), (3, "seven words that only two documents share"), (4, "seven words that only two documents share\nz")]
+    got = {r.doc_id: r for r in ld.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "something else entirely in another"
+    assert got[3].n_dropped == got[4].n_dropped == 0
