@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from .common import doc_text, partitions_for, read
 from .textkit import buffers
 
-ORDER = 5
+ORDER = 7  # the longest whose n-gram, order and mark fit 64 bits
 #: n -> occurrences in the corpus below which an n-gram is no arc; must not fall with n
-MIN_COUNT = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+MIN_COUNT = dict.fromkeys(range(1, ORDER + 1), 1)
 BLOCK_BYTES = 16 << 20
 SEGMENT = 1024
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 256  # that may follow: every byte value but one, and the end
 
 _STATE = 1 << 60
-_TAG_AT = 52
+_TAG_AT = 56
 _COUNT_BYTES = 4 << 20
 
 
@@ -85,11 +85,10 @@ def _cuts(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def block_ngrams(table: pa.Table) -> pa.Table:
-    """(block, gram, n): a block's full n-grams with their numbers."""
+    """(gram, held): a block's full n-grams; ``held`` has the block above the 32 bits of their number there."""
     raw, off = buffers(table.column("text").combine_chunks())
     key, n = _merge([_count(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in _cuts(off, _COUNT_BYTES)])
-    block = pa.array(np.full(len(key), table.column("block")[0].as_py(), np.int64))
-    return pa.table([block, pa.array(key | _tag(ORDER)), pa.array(n)], ["block", "gram", "n"])
+    return pa.table([pa.array(key | _tag(ORDER)), pa.array(n | table.column("block")[0].as_py() << 32)], ["gram", "held"])
 
 
 def smooth(key: np.ndarray, n: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,8 +126,8 @@ def _smooth_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _model(grams: DataFrame) -> DataFrame:
-    """(gram, weight): every arc of full length, from (gram, n) of full n-grams."""
-    full = grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    """(gram, weight): every arc of full length, from (gram, held) of full n-grams."""
+    full = grams.groupBy("gram").agg(F.sum(F.col("held").bitwiseAND(0xFFFFFFFF)).alias("n"))
     full = full.select((F.col("gram").bitwiseAND((1 << 8 * ORDER) - 1)).alias("key"), "n")
     # orders 1 and 2 have at most 256 and 65,536 n-grams, whatever the corpus
     pairs = full.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n"))
@@ -143,11 +142,11 @@ def _model(grams: DataFrame) -> DataFrame:
         F.size(F.collect_set("last").over(whole)).alias("kinds_all"),
     ).withColumn("q1", (F.col("n_last") + F.col("kinds_all") / F.lit(float(SYMBOLS))) / (F.col("n_all") + F.col("kinds_all")))
     low = low.withColumn("q2", (F.col("n") + F.col("kinds") * F.col("q1")) / (F.col("n_first") + F.col("kinds")))
-    keyed = full.join(F.broadcast(low.select("pair", F.col("q2").alias("q"))), F.col("key").bitwiseAND(0xFFFF) == F.col("pair"))
-    return (
-        keyed.select("key", "n", "q").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
-        .mapInArrow(_smooth_partition, "gram long, weight double")
+    # q joins after the shuffle, which is less to move
+    keyed = full.repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF)).join(
+        F.broadcast(low.select("pair", F.col("q2").alias("q"))), F.col("key").bitwiseAND(0xFFFF) == F.col("pair")
     )
+    return keyed.select("key", "n", "q").mapInArrow(_smooth_partition, "gram long, weight double")
 
 
 class Automaton:
@@ -298,9 +297,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = partitions_for(size, block_bytes)
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("block", "doc_id", "text")
-    grams = blocked.groupBy("block").applyInArrow(block_ngrams, "block long, gram long, n long").repartition("gram")
+    # one shuffle serves the counts and the questions: both read both columns, and no null check parts them
+    grams = blocked.groupBy("block").applyInArrow(block_ngrams, "gram long not null, held long not null").repartition("gram")
     # the weights of each block's own n-grams
-    asked = grams.select("block", "gram").join(_model(grams.select("gram", "n")).hint("shuffle_hash"), "gram").select("block", "gram", "weight")
+    asked = grams.select(F.shiftright("held", 32).alias("block"), "gram").join(_model(grams).hint("shuffle_hash"), "gram").select("block", "gram", "weight")
     scored = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         _score_block, "doc_id long, n_symbols long, log_prob double, perplexity double"
     )

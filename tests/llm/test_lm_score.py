@@ -127,3 +127,16 @@ def test_ngrams_seen_once_keep_their_arcs(spark):
     for i, text in enumerate(texts):
         s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
         assert got[i] == pytest.approx(sum(math.log(p(tuple(s[j - N + 1 : j]), s[j])) for j in range(N - 1, len(s))), rel=1e-9)
+
+
+def test_context_longer_than_a_short_word_counts(spark):
+    texts = ["xabcdp", "yabcdq", "xabcdp", "yabcdq", "xabcdq"]
+    got = {r.doc_id: r.log_prob for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] > got[4]  # after "abcd" q is commoner, after "xabcd" p
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("aeioubdgklmnrst"), rng.integers(2, 6))) for _ in range(400)]
+    size = []
+    for n in (20_000, 200_000):
+        raw, off = buffers(pa.array([" ".join(rng.choice(words, n))]))
+        size.append(len(lm._count(raw, off)[0]))
+    assert size[1] > 2 * size[0]
