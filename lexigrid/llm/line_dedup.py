@@ -1,7 +1,7 @@
 """Line dedup with a fixed-depth log-template tree.
 
 A line's tokens are its words (see ``textkit``); a token with a digit is a
-variable field.  The tree sends a line to a leaf by its token count and its
+variable field, unless its line is one or two such tokens alone.  The tree sends a line to a leaf by its token count and its
 first ``DEPTH`` tokens.  In a leaf, lines join the template they agree with in
 at least ``SIMILARITY`` of the positions; positions that differ become variable.
 A template found in ``MIN_DOCS`` documents or more is recurring, one of
@@ -27,7 +27,7 @@ SIMILARITY = 0.8
 MIN_DOCS = 3
 LONG_TOKENS = 8
 LONG_DOCS = 2
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 
 _FIELD = np.uint64(0)
 _LINE_BASE = 0xA24BAED4963EE407
@@ -42,12 +42,15 @@ class Lines:
         token = Hasher(raw)(start, end)
         digits = np.zeros(len(raw) + 1, np.int32)
         np.cumsum((raw >= 48) & (raw <= 57), out=digits[1:])
-        token = np.where(digits[end] > digits[start], _FIELD, token)
+        field = digits[end] > digits[start]
         breaks = np.flatnonzero(raw == 10)
         at = row + np.searchsorted(breaks, start)  # a row adds one line to its breaks
         first = group_starts(at)
         n = np.diff(np.r_[first, len(at)])
         place = np.arange(len(at)) - np.repeat(first, n)
+        if len(first):  # a line of one or two fields alone is no template: 12 is not 57
+            field &= ~np.repeat(np.logical_and.reduceat(field, first) & (n < 3), n)
+        token = np.where(field, _FIELD, token)
         term = token * _pow(_LINE_BASE, int(n.max()) if len(n) else 1)[place] if len(at) else token
         salt = n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         if len(first):
@@ -177,7 +180,7 @@ def dedup_lines(docs: DataFrame, **how: float) -> DataFrame:
     """Every row with its ``text`` cleaned, and ``n_lines`` and ``n_dropped``.
 
     Lines end at a line feed.  Null ids and null texts pass unchanged (n_lines is
-    null for a null text), as do lines under ``MIN_TOKENS`` words, blank ones included.  Rows that
+    null for a null text), as do lines without a word.  Rows that
     repeat a doc_id count as one document, and the line numbers found in any of them
     go from all of them.  Other columns are not carried; see ``drop_recurring_lines``.
     """

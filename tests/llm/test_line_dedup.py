@@ -77,3 +77,10 @@ def test_long_lines_recur_from_two_documents(spark):
     got = {r.doc_id: r for r in ld.dedup_lines(frame(spark, rows)).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "something else entirely in another"
     assert got[3].n_dropped == got[4].n_dropped == 0
+
+
+def test_short_lines_take_part(spark):
+    rows = [(i, f"les.\nand ornd.\n{i}{i}\nown{'abcd'[i]}") for i in range(4)]
+    got = {r.doc_id: r for r in ld.dedup_lines(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"{i}{i}\nown{'abcd'[i]}" for i in range(1, 4))
