@@ -1,7 +1,8 @@
 """LM scoring against a model written with dictionaries, symbol by symbol."""
 
 import math
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,133 +11,105 @@ import pytest
 from lexigrid.llm import lm_score as lm
 from lexigrid.llm.textkit import buffers
 
+SYMBOL = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-~]")
 N = lm.ORDER
 
 
+def symbols(text):
+    return ["<"] * (N - 1) + [s.lower() for s in SYMBOL.findall(text.encode())] + [b""]
+
+
 class Plain:
-    """Interpolated Witten-Bell with pruned arcs and back-off, by recursion."""
+    """Dirichlet smoothing by recursion, over dictionaries of counts."""
 
     def __init__(self, texts):
-        self.count = [Counter() for _ in range(N + 1)]
+        self.gram, self.context = Counter(), Counter()
         for text in texts:
-            s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+            s = symbols(text)
             for i in range(N - 1, len(s)):
-                for k in range(1, N + 1):
-                    self.count[k][tuple(s[i - k + 1 : i + 1])] += 1
-        self.follow = defaultdict(Counter)
-        for k in range(1, N + 1):
-            for gram, n in self.count[k].items():
-                self.follow[gram[:-1]][gram[-1]] = n
-
-    def arcs(self, h):
-        return {w for w, n in self.follow.get(h, {}).items() if n >= lm.MIN_COUNT[len(h) + 1]}
+                for k in range(N):
+                    self.gram[tuple(s[i - k : i + 1])] += 1
+                    self.context[tuple(s[i - k : i])] += 1
 
     def p(self, h, w):
-        f = self.follow.get(h)
-        if not f:
-            return self.p(h[1:], w)
-        lower = self.p(h[1:], w) if h else 1 / lm.SYMBOLS
-        if w in self.arcs(h):
-            return (f[w] + len(f) * lower) / (sum(f.values()) + len(f))
-        return self.back(h) * lower
-
-    def back(self, h):
-        arcs = self.arcs(h)
-        return (1 - sum(self.p(h, w) for w in arcs)) / (1 - sum(self.p(h[1:], w) for w in arcs)) if arcs else 1.0
+        lower = self.p(h[1:], w) if h else 257.0 ** -(len(w) + 1)
+        prior = lm.PRIORS[len(h)]
+        return (self.gram[(*h, w)] + prior * lower) / (self.context[h] + prior)
 
     def score(self, text):
-        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
+        s = symbols(text)
         return sum(math.log(self.p(tuple(s[i - N + 1 : i]), s[i])) for i in range(N - 1, len(s)))
 
 
-TEXTS = ["abra cadabra", "abracadabra abra", "", "a", "zürich über alles", "ab ab ab ab abra", "x" * 40, "cadabra\n\nabra", "日本日本", "abra cadabra"]
+TEXTS = [
+    "abra cadabra", "Abra cadabra abra!", "", "a", "zürich über alles, zürich über alles", "ab ab ab ab abra", "x" * 40, "cadabra\n\nabra", "日本 日本", "abra cadabra",
+    "... --- ...", "the cat sat on the mat. the cat sat on the hat; the dog sat on the cat?",
+]
+UNSEEN = ["the cat sat on a zebra", "zebra zebra zebra", "", "the the the", "cadabra abra cat sat on the mat!", "qq" * 30]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 24])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60, 24])
 def test_scores_equal_the_plain_model(spark, block_bytes):
     rows = list(enumerate(TEXTS))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.score_documents(docs, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes).collect()}
     plain = Plain(TEXTS)
     assert sorted(got) == list(range(len(TEXTS)))
     for i, text in rows:
-        assert got[i].n_symbols == len(text.encode()) + 1
+        assert got[i].n_symbols == len(symbols(text)) - N + 1
         assert got[i].log_prob == pytest.approx(plain.score(text), rel=1e-9)
         assert got[i].perplexity == pytest.approx(math.exp(-plain.score(text) / got[i].n_symbols), rel=1e-9)
 
 
-def test_segments_carry_the_same_state():
-    rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(list("abc "), n)) for n in (0, 1, 5, 300, 77)]
-    raw, off = buffers(pa.array(texts))
-    key, n = lm._count(raw, off)
-    pair, inverse = np.unique(key & 0xFFFF, return_inverse=True)
-    two = np.bincount(inverse, n)
-    last, first = pair & 0xFF, pair >> 8
-    q1 = {w: (two[last == w].sum() + len(set(last)) / lm.SYMBOLS) / (n.sum() + len(set(last))) for w in set(last)}
-    q2, parts = np.zeros(len(pair)), []
-    for i in range(len(pair)):
-        kinds, total = (first == first[i]).sum(), two[first == first[i]].sum()
-        q2[i] = (two[i] + kinds * q1[last[i]]) / (total + kinds)
-        parts.append((np.array([first[i] | lm._tag(1) | lm._STATE]), np.array([math.log(kinds / (kinds + total))])))
-    parts.append((pair | lm._tag(2), np.log(q2)))
-    parts.append((np.array(sorted(q1)) | lm._tag(1), np.log([q1[w] for w in sorted(q1)])))
-    parts += list(lm.smooth(key, n, q2[inverse]))
-    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_index=True)
-    automaton = lm.Automaton(gram, np.concatenate([w for _, w in parts])[at])
-    whole = automaton.score(raw, off, segment=1 << 20)
-    assert np.allclose(automaton.score(raw, off, segment=7), whole, rtol=1e-12)
-    plain = Plain(texts)
-    assert np.allclose(whole, [plain.score(t) for t in texts], rtol=1e-9)
-
-
-def test_probabilities_sum_to_one():
+def test_whole_table_equals_the_plain_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    plain = Plain([t for _, t in rows])
+    got = {r.doc_id: r.log_prob for r in lm.score_documents(docs, block_bytes=100_000).collect()}
+    assert all(got[i] == pytest.approx(plain.score(t), rel=1e-9) for i, t in rows)
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 1 << 20])
+def test_failure_arcs_and_segments(segment):
+    grams = lm.Grams(*buffers(pa.array(TEXTS)))
+    automaton = lm.Automaton(grams)
     plain = Plain(TEXTS)
-    seen = [g[0] for g in plain.count[1]]
-    rest = (lm.SYMBOLS - len(seen)) / lm.SYMBOLS * len(seen) / (sum(plain.count[1].values()) + len(seen))
-    assert sum(plain.p((), w) for w in seen) == pytest.approx(1 - rest)
+    for texts in (TEXTS, UNSEEN):
+        got = lm.score_texts(automaton, grams.word, *buffers(pa.array(texts)), segment=segment)
+        assert np.allclose(got, [plain.score(t) for t in texts], rtol=1e-9)
+
+
+def test_probabilities_sum_to_at_most_one():
+    plain = Plain(TEXTS)
+    seen = {g[0] for g in plain.gram if len(g) == 1}
+    for h in plain.context:
+        assert 0.8 * (h == ()) < sum(plain.p(h, w) for w in seen) <= 1 + 1e-12
 
 
 def test_odd_rows(spark):
-    schema = "doc_id long, text string, block string, gram int, weight double"
-    rows = [(1, None, "x", 1, 0.0), (None, "abc", None, None, None), (2, "", "y", 2, 1.0), (3, "abc", "z", 3, 2.0), (3, "abc", "z", 3, 2.0), (4, "q" * 5000, "", 0, 0.0)]
-    got = lm.score_documents(spark.createDataFrame(rows, schema)).collect()
-    assert len(got) == 6
+    schema = "doc_id long, text string, block string, part int, n double"
+    rows = [(1, None, "x", 1, 0.0), (None, "abc", None, None, None), (2, "", "y", 2, 1.0), (3, "abc", "z", 3, 2.0), (3, "abc", "z", 3, 2.0), (4, "q r " * 50_000, "", 0, 0.0), (5, "é" * 30_000, "", 0, 0.0)]
+    got = lm.score_documents(spark.createDataFrame(rows, schema), block_bytes=10_000).collect()
+    assert len(got) == 7
     by = {r.doc_id: r for r in got}
-    assert by[1].log_prob is None and by[1].n_symbols is None and by[2].n_symbols == 1
+    assert by[1].log_prob is None and by[1].n_symbols is None and by[2].n_symbols == 1 and by[4].n_symbols == 100_001
     assert by[3].log_prob == by[None].log_prob
+    plain = Plain([r[1] for r in rows if r[1] is not None])
+    assert all(by[r[0]].log_prob == pytest.approx(plain.score(r[1]), rel=1e-9) for r in rows if r[1] is not None and len(r[1]) < 60_000)
     assert lm.score_documents(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_ngrams_seen_once_keep_their_arcs(spark):
-    texts = ["abcdefgh", "stuvwxyz", "abcdefgh again"]
-    count, follow = Counter(), defaultdict(set)
-    for text in texts:
-        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
-        for i in range(N - 1, len(s)):
-            for k in range(1, N + 1):
-                count[tuple(s[i - k + 1 : i])] += 1
-                count[tuple(s[i - k + 1 : i + 1]), "gram"] += 1
-                follow[tuple(s[i - k + 1 : i])].add(s[i])
-
-    def p(h, w):
-        lower = p(h[1:], w) if h else 1 / lm.SYMBOLS
-        return (count[(*h, w), "gram"] + len(follow[h]) * lower) / (count[h] + len(follow[h]))
-
-    got = {r.doc_id: r.log_prob for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i, text in enumerate(texts):
-        s = [lm.BEGIN] * (N - 1) + list(text.encode()) + [lm.END]
-        assert got[i] == pytest.approx(sum(math.log(p(tuple(s[j - N + 1 : j]), s[j])) for j in range(N - 1, len(s))), rel=1e-9)
+def test_copies_stand_out(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeioubdgklmnrst"), rng.integers(2, 7))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(200)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(0, 200, 10)]
+    got = {r.doc_id: r.perplexity for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=8000).collect()}
+    twice = [got[i] for i in range(0, 200, 10)]
+    assert max(twice) < min(got[i] for i in range(200) if i % 10)
 
 
-def test_context_longer_than_a_short_word_counts(spark):
-    texts = ["xabcdp", "yabcdq", "xabcdp", "yabcdq", "xabcdq"]
-    got = {r.doc_id: r.log_prob for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0] > got[4]  # after "abcd" q is commoner, after "xabcd" p
+def test_what_is_gathered_grows_with_the_input():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("aeioubdgklmnrst"), rng.integers(2, 6))) for _ in range(400)]
-    size = []
-    for n in (20_000, 200_000):
-        raw, off = buffers(pa.array([" ".join(rng.choice(words, n))]))
-        size.append(len(lm._count(raw, off)[0]))
-    assert size[1] > 2 * size[0]
+    size = [len(lm.Grams(*buffers(pa.array([" ".join(rng.choice(words, n))]))).n3) for n in (20_000, 200_000)]
+    assert size[1] > 9.9 * size[0]
