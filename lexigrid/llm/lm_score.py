@@ -13,7 +13,7 @@ impossible.  A state that lacks the next symbol is left by its failure arc, with
 weight ``PRIOR / (context + PRIOR)``, to the state of its longest proper suffix.
 
 Documents are scored in blocks.  A block counts its own n-grams and sends each
-one's 64-bit hash and number, packed by ranges of the hash, to the range's task.
+one's hash and number, packed by ranges of the hash, to the range's task.
 That adds them up and answers only for n-grams that several blocks hold; the others'
 numbers are the block's own.  So no worker and no broadcast holds the model of
 the whole corpus, an n-gram however frequent is sent once for each block, and n-grams of
@@ -36,7 +36,7 @@ from .textkit import _WORD, Hasher, buffers, mix64
 ORDER = 3
 #: strength of the lower order, for orders 1, 2 and 3
 PRIORS = (1.0, 20.0, 5.0)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 1024
 
 _BEGIN, _END = np.uint64(0x0B361A5D4E7F2C81), np.uint64(0x0E9D3B7A51C6F043)
@@ -45,6 +45,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[33:127] = True
 _SIGN &= ~_WORD
 _HASH_BYTES = 1 << 20
+#: of 2**36 n-grams, which is about 300 GB of text, one in a million shares its hash with another
+KEY_BITS = 56
 _CODEC = "zstd"
 
 
@@ -86,7 +88,7 @@ def _key(order: int, *parts: np.ndarray) -> np.ndarray:
 
 def _group(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each distinct key stands first in ``key``, the number of each, and each one's number in their order."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]] if len(key) else np.zeros(0, bool)
     inverse = np.empty(len(key), np.int32)
@@ -143,8 +145,8 @@ class Grams:
             _key(0, np.zeros(1, np.uint64)), _key(1, w), _key(2, w[self.left], w[self.right]),
             _key(3, w[self.left][self.context], w[self.right][self.context], w[self.last]),
         ])
-        order = np.argsort(key, kind="stable")
-        return key[order], np.concatenate([[self.total], self.n1, self.n2, self.n3])[order], order
+        order = np.argsort(key)
+        return key[order] >> np.uint64(64 - KEY_BITS), np.concatenate([[self.total], self.n1, self.n2, self.n3])[order], order
 
     def adopt(self, n: np.ndarray) -> None:
         """Take the corpus's numbers, in the order of ``keys``' places."""
@@ -274,7 +276,7 @@ def _deltas(values: np.ndarray) -> np.ndarray:
 
 def _ranges(key: np.ndarray, ranges: int) -> np.ndarray:
     """Where each range of the hash begins in the ordered ``key``, and its end."""
-    bounds = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+    bounds = np.array([(i << KEY_BITS) // ranges for i in range(ranges)], np.uint64)
     return np.r_[np.searchsorted(key, bounds), len(key)]
 
 
@@ -302,7 +304,7 @@ def _added(table: pa.Table) -> pa.Table:
     sizes = table.column("n").to_numpy()
     keys = np.concatenate([np.cumsum(_unpack(k.as_py(), n)) for k, n in zip(table.column("keys"), sizes)])
     count = np.concatenate([_unpack(c.as_py(), n) for c, n in zip(table.column("counts"), sizes)]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     new = np.r_[True, keys[1:] != keys[:-1]]
     start = np.flatnonzero(new)
