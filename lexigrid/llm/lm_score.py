@@ -36,7 +36,7 @@ from .textkit import _WORD, Hasher, buffers, mix64
 ORDER = 3
 #: strength of the lower order, for orders 1, 2 and 3
 PRIORS = (1.0, 20.0, 5.0)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 SEGMENT = 1024
 
 _BEGIN, _END = np.uint64(0x0B361A5D4E7F2C81), np.uint64(0x0E9D3B7A51C6F043)
@@ -52,10 +52,10 @@ _CODEC = "zstd"
 
 def symbol_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (exclusive) and row of every word and sign, in reading order."""
-    word, sign = _WORD[raw], _SIGN[raw]
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
+    word, sign = _WORD[raw], _SIGN[raw]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -118,18 +118,20 @@ class Grams:
         flat[self.first + size] = _END
         spelled = np.zeros(len(flat), np.int64)
         spelled[place] = end - start
+        n = len(flat)
         at, self.n1, self.symbol = _group(flat)
         self.word = flat[at]
+        del flat, place, start, end, row
         #: log-probability of the symbol by its spelling; the end is the empty word
         self.spelling = -(spelled[at] + 1) * _SPELL
         self.n1[self.word == _BEGIN] = rows
-        inner = np.ones(len(flat), bool)
+        inner = np.ones(n, bool)
         inner[self.first - pad] = False
         i = np.flatnonzero(inner)
         at, self.n2, pair = _group(self.symbol[i - 1].astype(np.int64) << 32 | self.symbol[i])
         self.left, self.right = self.symbol[i[at] - 1], self.symbol[i[at]]
         #: number of the pair that ends at each place
-        self.pair = np.full(len(flat), -1, np.int32)
+        self.pair = np.full(n, -1, np.int32)
         self.pair[i] = pair
         inner[self.first - 1] = False
         i = np.flatnonzero(inner)
@@ -366,9 +368,11 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = partitions_for(size, block_bytes)
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select("block", "doc_id", "text")
-    # one shuffle of the texts serves the counts and the scores
+    # one shuffle of the texts serves the counts and the scores; a task has two blocks or ranges on average, at any size
+    tasks = -(-blocks // 2)
+    blocked = blocked.repartition(tasks, "block")
     counted = blocked.groupBy("block").applyInArrow(_counted(blocks), "part int, block int, n int, keys binary, counts binary")
-    added = counted.groupBy("part").applyInArrow(_added, "block int, part int, n int, places binary, counts binary")
+    added = counted.repartition(tasks, "part").groupBy("part").applyInArrow(_added, "block int, part int, n int, places binary, counts binary")
     scored = blocked.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(
         _scored(blocks), "doc_id long, n_symbols long, log_prob double, perplexity double"
     )
