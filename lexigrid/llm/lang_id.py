@@ -5,7 +5,7 @@ case-folded and every run of other characters is one space.  A feature's value i
 ``SCALE`` x its share of the document's n-grams x its inverse document frequency,
 which is counted over all documents.  The model is trained with
 follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) on at
-most ``TRAIN_DOCS`` labelled documents, those first by a hash of their id and text;
+most ``TRAIN_DOCS`` labelled documents with distinct texts, spread over the languages, those first by a hash of the text;
 one in ``HELD_OUT`` of them is kept from training and sets the temperature by
 which the scores are divided.  Every document is then scored whole.
 """
@@ -173,16 +173,36 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """Texts to take of each language: all of a rare one, equal numbers of the others; the commonest ``bound`` languages only."""
+    out, left = {}, bound
+    some = sorted(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:bound], key=lambda c: (c[1], c[0]))
+    for i, (lang, n) in enumerate(some):
+        out[lang] = min(n, left // (len(some) - i))
+        left -= out[lang]
+    return out
+
+
 def _sample(docs: DataFrame, bound: int) -> pa.Table:
-    """(mark, lang, bucket[], n[]) of the training documents, featurised on the executors."""
-    rows = docs.select(
-        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mark"),
-    ).filter("lang is not null and text is not null")
-    # only the marks are ordered, so no text moves
-    last = rows.select("mark").orderBy("mark").limit(bound).agg(F.max("mark")).first()[0]
-    if last is None:
-        rows = rows.limit(0)
+    """(mark, lang, bucket[], n[]) of at most ``bound`` training documents, featurised on the executors.
+
+    A text counts once for a language however often it stands there; ``mark`` is its hash.
+    """
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(
+        "lang is not null and text is not null"
+    ).withColumn("mark", F.xxhash64("text"))
+    spark = docs.sparkSession
+    # only the marks are moved and ordered
+    marks = rows.select("lang", "mark").distinct()
+    by_lang = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(bound).collect()
+    counts = {r.lang: r.n for r in by_lang}
+    # a mark is uniform, so this share of the marks' range holds about the quota
+    shares = [(lang, q / counts[lang]) for lang, q in quotas(counts, bound).items()]
+    wanted = spark.createDataFrame(shares, "lang string, share double")
+    place = (F.col("mark") / F.lit(2.0**64)) + 0.5
+    sample = marks.join(F.broadcast(wanted), "lang").filter(place <= F.col("share"))
+    # chance may take a few too many of the common languages
+    sample = sample.orderBy(F.desc("share"), F.xxhash64("lang", "mark"), "lang").limit(bound).select("lang", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -191,7 +211,7 @@ def _sample(docs: DataFrame, bound: int) -> pa.Table:
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (bucket, n)]
             yield pa.RecordBatch.from_arrays([part.column("mark"), part.column("lang"), *lists], ["mark", "lang", "bucket", "n"])
 
-    kept = rows.filter(F.col("mark") <= F.lit(last if last is not None else 0))
+    kept = rows.join(F.broadcast(sample), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))
     return kept.mapInArrow(run, "mark long, lang string, bucket array<int>, n array<int>").toArrow()
 
 

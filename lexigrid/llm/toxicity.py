@@ -8,8 +8,11 @@ they meet in use.
 
 Features are the presence of words and of word beginnings, chosen by chi-square
 against the label, and four shares of the text's bytes.  The chain is fitted on at most ``TRAIN_DOCS``
-labelled documents with distinct texts, those first by the hash of their id;
-every document is scored.
+labelled documents, those first by the hash of their id; every document is scored.
+Repeated rows, and documents with the same text, train once (under the least id).
+
+The tables label one toxicity category, ``toxic``, and the quality of a text, which
+is the chain's first link; further label columns make further links.
 """
 
 from __future__ import annotations
@@ -102,10 +105,21 @@ def _design(words: np.ndarray, flat: np.ndarray, row: np.ndarray, n: int) -> np.
     return x
 
 
+def choose_words(vocabulary: np.ndarray, code: np.ndarray, row: np.ndarray, used: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The words, sorted, that tell most about ``y`` among the rows ``used``."""
+    present = np.bincount(code[used[row]], minlength=len(vocabulary))
+    positive = np.bincount(code[(used & (y > 0))[row]], minlength=len(vocabulary))
+    chi = chi_square(present, positive, int(used.sum()), int(y[used].sum()))
+    chi[(present < MIN_PRESENT) | (chi < MIN_CHI)] = 0
+    best = np.lexsort((vocabulary, -chi))[:MAX_WORDS]
+    return np.sort(vocabulary[best[chi[best] > 0]])
+
+
 def fit_chain(flat: np.ndarray, row: np.ndarray, shares: np.ndarray, labels: np.ndarray) -> list[Link]:
     """Fit the chain; ``flat`` and ``row`` list each row's distinct words, ``labels`` is rows x categories.
 
-    A label of -1 is unknown; such a row doesn't train that category.
+    A label of -1 is unknown; such a row doesn't train that category.  A fold's
+    predictions come from words chosen and weights fitted without that fold.
     """
     n = len(shares)
     chain: list[Link] = []
@@ -114,22 +128,22 @@ def fit_chain(flat: np.ndarray, row: np.ndarray, shares: np.ndarray, labels: np.
     # the driver's memory holds each occurrence as a 32-bit code
     coded = pa.array(flat).dictionary_encode()
     vocabulary, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+    def fit(used: np.ndarray, y: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and weights from the rows ``used``, and the probabilities of the rows ``asked``."""
+        words = choose_words(vocabulary, code, row, used, y)
+        x = np.c_[_design(words, flat, row, n), shares, earlier]
+        w = fit_logistic(x[used], y[used], RIDGE)
+        return words, w, sigmoid(x[asked] @ w[:-1] + w[-1])
+
     for c in range(labels.shape[1]):
         known = labels[:, c] >= 0
         y = (labels[:, c] == 1).astype(float)
-        present = np.bincount(code[known[row]], minlength=len(vocabulary))
-        positive = np.bincount(code[(known & (y > 0))[row]], minlength=len(vocabulary))
-        chi = chi_square(present, positive, int(known.sum()), int(y[known].sum()))
-        chi[(present < MIN_PRESENT) | (chi < MIN_CHI)] = 0
-        best = np.lexsort((vocabulary, -chi))[:MAX_WORDS]
-        words = np.sort(vocabulary[best[chi[best] > 0]])
-        x = np.c_[_design(words, flat, row, n), shares, earlier]
         ours = np.zeros(n)
         for f in range(FOLDS):
-            train = known & (fold != f)
-            w = fit_logistic(x[train], y[train], RIDGE)
-            ours[fold == f] = sigmoid(x[fold == f] @ w[:-1] + w[-1])
-        chain.append(Link(words, fit_logistic(x[known], y[known], RIDGE), best_threshold(ours[known], y[known])))
+            ours[fold == f] = fit(known & (fold != f), y, fold == f)[2]
+        words, weights, _ = fit(known, y, known)
+        chain.append(Link(words, weights, best_threshold(ours[known], y[known])))
         earlier = np.c_[earlier, ours]
     return chain
 
@@ -155,12 +169,15 @@ def _training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
     yes = [
         F.coalesce((F.col(column) == value).cast("int"), F.lit(-1)).alias(f"y{i}") for i, (column, value) in enumerate(categories.values())
     ]
-    # a document labelled twice takes its greatest label; the bound keeps what is broadcast small
-    sample = (
-        labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *yes)
-        .groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(yes))])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    # one row for each id: a document labelled twice takes its greatest label, one with several texts the least hash
+    marks = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *yes).groupBy("doc_id").agg(
+        *[F.max(f"y{i}").alias(f"y{i}") for i in range(len(yes))]
     )
+    texts = doc_text(docs).filter("doc_id is not null and text is not null").withColumn("same", F.xxhash64("text"))
+    ids = texts.select("doc_id", "same").groupBy("doc_id").agg(F.min("same").alias("same"))
+    # only numbers are joined and ordered; one id for each text; then the bound holds whatever repeats
+    first = ids.join(marks, "doc_id").groupBy("same").agg(F.min(F.struct("doc_id", *[f"y{i}" for i in range(len(yes))])).alias("d")).select("same", "d.*")
+    sample = first.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     names = [f"y{i}" for i in range(len(yes))]
 
@@ -186,9 +203,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
             )
 
     schema = "doc_id long, same long, words array<long>, shares array<double>, " + ", ".join(f"{y} int" for y in names)
-    joined = doc_text(docs).filter("text is not null").join(F.broadcast(sample), "doc_id").withColumn("same", F.xxhash64("text"))
-    # executors do the featurising; the driver gets TRAIN_DOCS rows at most
-    return joined.mapInArrow(words, schema).toArrow()
+    found = texts.join(F.broadcast(sample), ["doc_id", "same"]).groupBy("doc_id", "same", *names).agg(F.min("text").alias("text"))
+    # executors do the featurising; the driver gets ``bound`` rows at most
+    return found.mapInArrow(words, schema).toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]] = CATEGORIES, bound: int = TRAIN_DOCS) -> list[Link]:

@@ -98,3 +98,67 @@ def test_odd_rows(spark):
     assert {r.language for r in li.identify(docs, None).collect()} == {"und", None}
     one = docs.filter("lang = 'aa'")
     assert {r.language for r in li.identify(one.filter("text is not null"), li.train(one)).collect()} == {"aa"}
+
+
+def test_the_bound_holds_whatever_repeats(spark):
+    same = spark.range(5000).selectExpr("id as doc_id", "'one text' as text", "'en' as lang")
+    assert li._sample(same, 100).num_rows == 1
+    rows = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id) as text", "if(id % 500 = 0, 'xx', 'en') as lang")
+    got = li._sample(rows.unionByName(rows), 200)
+    langs = got.column("lang").to_pylist()
+    assert 150 <= got.num_rows <= 200 and langs.count("xx") == 10  # a rare language comes whole
+    assert li.quotas({"a": 1000, "b": 3, "c": 1000}, 100) == {"a": 48, "c": 49, "b": 3}
+    assert sum(li.quotas({str(i): 1 for i in range(500)}, 100).values()) == 100
+
+
+def test_ftrl_equals_a_plain_one():
+    """McMahan's per-coordinate update for softmax, one coordinate at a time."""
+    rng = np.random.default_rng(5)
+    k, rows = 3, []
+    y = rng.integers(0, k, 60)
+    for label in y:
+        bucket = np.unique(np.r_[label, rng.integers(10, 40, 6)])
+        rows.append((bucket, rng.random(len(bucket)) * 2))
+    z, n = {}, {}
+
+    def weight(key):
+        if key not in z:
+            return 0.0
+        l1 = 0.0 if key[0] == "bias" else li.L1
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * l1) / ((li.BETA + np.sqrt(n[key])) / li.ALPHA + li.L2)
+
+    for _ in range(li.EPOCHS):
+        for (bucket, value), label in zip(rows, y):
+            x = dict(zip(bucket.tolist(), value.tolist())) | {"bias": 1.0}
+            w = {(f, c): weight((f, c)) for f in x for c in range(k)}
+            s = np.array([sum(w[f, c] * v for f, v in x.items()) for c in range(k)])
+            p = np.exp(s - s.max())
+            p /= p.sum()
+            for f, v in x.items():
+                for c in range(k):
+                    g = (p[c] - (c == label)) * v
+                    before = n.get((f, c), 0.0)
+                    sigma = (np.sqrt(before + g * g) - np.sqrt(before)) / li.ALPHA
+                    z[f, c] = z.get((f, c), 0.0) + g - sigma * w[f, c]
+                    n[f, c] = before + g * g
+    w, bias = li.ftrl(rows, y, k)
+    assert np.allclose(bias, [weight(("bias", c)) for c in range(k)])
+    for b in range(40):
+        assert np.allclose(w[b], [weight((b, c)) for c in range(k)])
+
+
+def test_scores_equal_plain_ones(spark):
+    """TF-IDF, weights, softmax and temperature by dictionaries, on whole texts."""
+    rows = corpus(120, 6)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = li.train(docs)
+    got = {r.doc_id: r for r in li.identify(docs, model).collect()}
+    for r in rows:
+        flat = li.char_ngrams(*buffers(pa.array([r[1]])))[0].tolist()
+        s = [sum(float(model.table[b, c]) for b in flat) / len(flat) + model.bias[c] for c in range(len(model.languages))]
+        e = np.exp((np.array(s) - max(s)) / model.temperature)
+        p = e / e.sum()
+        assert got[r[0]].language == model.languages[int(p.argmax())]
+        assert got[r[0]].confidence == pytest.approx(p.max(), rel=1e-4)

@@ -84,3 +84,113 @@ def test_logistic_and_chi_square():
     assert chi_square(np.array([40]), np.array([30]), 100, 50)[0] == pytest.approx(want)
     assert tx.best_threshold(np.array([0.9, 0.8, 0.2]), np.array([1.0, 1.0, 0.0])) == pytest.approx(0.5)
     assert isinstance(pa.array([1]), pa.Array)
+
+
+def test_the_bound_holds_whatever_repeats(spark):
+    one = spark.range(3000).selectExpr("5L as doc_id", "concat('text ', id % 3) as text")
+    labels = spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert tx._training_rows(one, labels, tx.CATEGORIES, 100).num_rows == 1
+    same = spark.range(3000).selectExpr("id as doc_id", "'one text' as text")
+    many = spark.range(3000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert tx._training_rows(same, many, tx.CATEGORIES, 100).column("doc_id").to_pylist() == [0]
+    other = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert tx._training_rows(other, many, tx.CATEGORIES, 100).num_rows == 100
+    assert tx._training_rows(other, many.unionByName(many), tx.CATEGORIES, 100).num_rows == 100
+
+
+def test_labels_without_a_document_cost_nothing(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(100_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic")
+    assert tx._training_rows(docs, labels, tx.CATEGORIES, 1000).num_rows == 500
+
+
+def plain_weights(rows, y):
+    """Ridge logistic regression by plain gradient descent with momentum; the intercept is free."""
+    x = np.array([[*r, 1.0] for r in rows])
+    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    ridge = np.r_[np.full(x.shape[1] - 1, tx.RIDGE), 0]
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + tx.RIDGE)
+    for t in range(20_000):
+        ahead = w + t / (t + 3) * v
+        new = ahead - step * (x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) + ridge * ahead)
+        v, w = new - w, new
+    return w
+
+
+def test_equals_a_plain_chain_of_three(spark, monkeypatch):
+    """Words counted in sets, out-of-fold predictions by hand, weights by gradient descent."""
+    monkeypatch.setattr(tx, "RIDGE", 1.0)
+    rng = random.Random(8)
+    texts, labels = [], []
+    for _ in range(160):
+        words = rng.choices(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], k=9)
+        a = rng.random() < 0.4
+        b = rng.random() < (0.8 if a else 0.2)
+        c = rng.random() < (0.8 if b else 0.2)
+        for on, bad in ((a, "aaa"), (b, "bbb"), (c, "ccc")):
+            if on and rng.random() < 0.8:
+                words.append(bad)
+        texts.append(" ".join(words))
+        labels.append([int(a), int(b), int(c)])
+    labels[3][1] = -1
+    labels = np.array(labels)
+    raw, off = tx.buffers(pa.array(texts))
+    flat, row = tx.word_features(raw, off)
+    pairs = sorted(set(zip(row.tolist(), flat.tolist())))
+    chain = tx.fit_chain(np.array([f for _, f in pairs]), np.array([r for r, _ in pairs]), tx._shares(raw, off), labels)
+    got = tx.apply_chain(chain, raw, off)
+
+    held = [set(t.split()) for t in texts]
+    shares = tx._shares(raw, off).tolist()
+
+    def chosen(used, y):
+        out = []
+        for w in set().union(*held):
+            n = len(used)
+            a = sum(w in held[i] and y[i] for i in used)
+            p, k = sum(y[i] for i in used), sum(w in held[i] for i in used)
+            b, c = k - a, p - a
+            d = n - p - b
+            bottom = k * (n - k) * p * (n - p)
+            if k >= tx.MIN_PRESENT and bottom and n * (a * d - b * c) ** 2 / bottom >= tx.MIN_CHI:
+                out.append(w)
+        return sorted(out)
+
+    def design(words, i, before):
+        return [*(float(w in held[i]) for w in words), *shares[i], *before]
+
+    out_of_fold, final = [[] for _ in texts], [[] for _ in texts]
+    for c in range(3):
+        y = labels[:, c] == 1
+        known = [i for i in range(len(texts)) if labels[i, c] >= 0]
+        fresh = {}
+        for f in range(tx.FOLDS):
+            used = [i for i in known if i % tx.FOLDS != f]
+            words = chosen(used, y)
+            w = plain_weights([design(words, i, out_of_fold[i]) for i in used], y[used])
+            for i in range(f, len(texts), tx.FOLDS):
+                fresh[i] = 1 / (1 + np.exp(-np.dot(w, [*design(words, i, out_of_fold[i]), 1.0])))
+        words = chosen(known, y)
+        w = plain_weights([design(words, i, out_of_fold[i]) for i in known], y[known])
+        for i in range(len(texts)):
+            final[i].append(1 / (1 + np.exp(-np.dot(w, [*design(words, i, final[i]), 1.0]))))
+        for i, p in fresh.items():
+            out_of_fold[i].append(p)
+    assert np.allclose(got, final, atol=2e-3)
+
+
+def test_noise_is_not_predicted_out_of_fold(monkeypatch):
+    monkeypatch.setattr(tx, "MIN_CHI", 4.0)
+    rng = np.random.default_rng(3)
+    n = 400
+    row = np.repeat(np.arange(n), 50)
+    flat = rng.integers(1, 3000, len(row))
+    pairs = np.unique(np.c_[row, flat], axis=0)
+    y = rng.integers(0, 2, n)
+    seen = []
+    real = tx.best_threshold
+    monkeypatch.setattr(tx, "best_threshold", lambda p, t: seen.append((p, t)) or real(p, t))
+    tx.fit_chain(pairs[:, 1], pairs[:, 0], np.zeros((n, 4)), y[:, None])
+    p, t = seen[0]
+    better = (p[t == 1][:, None] > p[t == 0]).mean()
+    assert 0.4 < better < 0.6
