@@ -30,8 +30,10 @@ from .textkit import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 1 << 16
-OVERLAP = 512
+CHUNK = 1 << 13
+OVERLAP = 256
+#: chunks of a long text that a task splits at once; the pattern is matched without the interpreter's lock
+THREADS = 2
 #: A pre-token that ends this far before its chunk's end can't depend on what follows the chunk:
 #: the pattern looks at most three characters past a token.
 MARGIN = 4
@@ -53,21 +55,21 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.core._encode_single_piece(piece)
+        ids = self.core.encode_ordinary(piece)
         packed = self[piece] = np.array(ids, "<i4").tobytes()
         return packed
 
 
 class Codec:
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, threads: int = 1):
+    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, threads: int = THREADS):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.pieces = Pieces(tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        self.pieces = Pieces(tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}))
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.threads = threads
+        self.pool = ThreadPoolExecutor(threads) if threads > 1 else None
 
     def _split(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+        return self.pattern.findall(text, concurrent=True)
 
     def pretokens(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
         """The pre-tokens of ``text``, the same as if it were split in one go."""
@@ -75,11 +77,7 @@ class Codec:
             return self._split(text)
         bounds = [(at, min(at + chunk + overlap, len(text))) for at in range(0, len(text) - overlap, chunk)]
         parts = [text[a:b] for a, b in bounds]
-        if self.threads > 1:
-            with ThreadPoolExecutor(self.threads) as pool:
-                split = list(pool.map(self._split, parts))
-        else:
-            split = list(map(self._split, parts))
+        split = list((self.pool.map if self.pool else map)(self._split, parts))
         return self._stitch(text, bounds, split)
 
     def _stitch(self, text: str, bounds: list[tuple[int, int]], split: list[list[str]]) -> list[str]:
@@ -129,12 +127,12 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str, threads: int = 1) -> Codec:
+def codec(path: str, threads: int = THREADS) -> Codec:
     """One codec for each worker process."""
     return Codec(path, threads=threads)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, threads: int = THREADS) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) for every row, in one pass without a shuffle.
 
     ``round_trip`` says that the tokens' bytes, joined, are the text's.  A null text

@@ -15,11 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder is used.
+    A local session that names none (unit tests) gets a temporary folder; on a
+    cluster its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
         found = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from .common import doc_text, read
 from .textkit import buffers, normalise, slices
@@ -171,10 +172,31 @@ def contaminated(
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
-    """``docs`` without the documents in which a test item was found; all columns kept."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, min_bytes: int = MIN_BYTES, items_bytes: int = ITEMS_BYTES) -> DataFrame:
+    """``docs`` without the rows in which a test item was found; all columns kept, no shuffle.
+
+    The verdict is taken on the text itself, so ids, null ones too, play no part in it; a
+    null text stays.
+    """
+    for group in _item_groups(benchmark, items_bytes):
+        items = [(i, t) for (i, _), t in zip(group, normal_texts([t for _, t in group])) if len(t) >= min_bytes]
+        if not items:
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def clean(texts: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
+            matcher = Matcher(sent.value, rate)
+            for text in texts:
+                keep = np.ones(len(text), bool)
+                at = 0
+                for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
+                    for row, _, _ in matcher.search(*normalise(*buffers(part.column(0)))):
+                        keep[at + row] = False
+                    at += part.num_rows
+                yield pa.array(keep)
+
+        docs = docs.filter(F.arrow_udf(clean, "boolean", ArrowUDFType.SCALAR_ITER)(docs["text"].cast("string")))
+    return docs
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from lexigrid.llm.line_dedup import DEPTH, MIN_DOCS, MIN_TOKENS, SIMILARITY, Lines
+from lexigrid.llm.line_dedup import DEPTH, LONG_DOCS, LONG_TOKENS, MIN_DOCS, MIN_TOKENS, SIMILARITY, Lines
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -65,6 +65,8 @@ def dropped_lines(docs, min_docs=MIN_DOCS, similarity=SIMILARITY):
     for doc_id, text in docs:
         for no, line in enumerate(text.split("\n")):
             tokens = [None if re.search(rb"[0-9]", w) else w for w in words(line)]
+            if len(tokens) < 3 and not any(tokens):
+                tokens = words(line)  # a number or two alone are no template
             if len(tokens) >= MIN_TOKENS:
                 mark = int(Lines(pa.array([line]), DEPTH, MIN_TOKENS).line[0])  # only gives the order within a leaf
                 leaves[len(tokens), tuple(tokens[:DEPTH])][mark] = tokens
@@ -85,7 +87,7 @@ def dropped_lines(docs, min_docs=MIN_DOCS, similarity=SIMILARITY):
         for t in templates:
             found = [p for m in t["marks"] for p in places[m]]
             holders = {d for d, _ in found}
-            if len(holders) >= min_docs:
+            if len(holders) >= (LONG_DOCS if len(t["tokens"]) >= LONG_TOKENS else min_docs):
                 for d, no in found:
                     if d != min(holders):
                         gone[d].add(no)

@@ -28,7 +28,7 @@ def test_chunks_give_the_same_pretokens(chunk, overlap):
     more = ["".join(rng.choices(["a", "bc ", "  ", "1", "!", "\n", "é", "'ll", " the"], k=400)) for _ in range(40)]
     for text in TEXTS + more:
         assert coder.pretokens(text, chunk, overlap) == coder._split(text)
-    assert bpe.Codec(threads=3).pretokens(more[0], chunk, overlap) == coder._split(more[0])
+    assert bpe.Codec(threads=1).pretokens(more[0], chunk, overlap) == coder._split(more[0])
 
 
 def test_tokens_equal_those_of_the_whole_text_and_decode(spark, whole):

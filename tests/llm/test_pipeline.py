@@ -26,13 +26,12 @@ def test_stages_equal_brute_force(spark, sf_dir):
     items = [i for i in items if len(i) >= decontam.MIN_BYTES]
     for i, text in list(clean.items()):
         t = decontam.normal_texts([text])[0]
-        if len(t) < 3000 and any(substring_distance_fast(m, t) for m in items):
+        if any(substring_distance_fast(m, t) for m in items):
             del clean[i]
     ranks = bpe.load_ranks(bpe.VOCABULARY)
     whole = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r for r in cp.run(spark, sf_dir).collect()}
-    long = {i for i, t in clean.items() if len(decontam.normal_texts([t])[0]) >= 3000}
-    assert set(got) - long == set(clean) - long and set(got) <= set(clean)
+    assert set(got) == set(clean)
     for i, r in got.items():
         assert r.tokens == whole.encode_ordinary(clean[i]) and r.round_trip
 
@@ -56,3 +55,27 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
     assert all(stage(spark, docs.limit(0), sf_dir).count() == 0 for _, stage in cp.STAGES)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, a long text with a test item, further columns, no rows."""
+    item = "which of the seven bright rivers runs north through the old salt town"
+    long = " ".join(f"w{i} {'abcdefghij'[i % 10]}x" for i in range(20_000))
+    own = " ".join("abcdefgh"[i % 8] + "mnopqrs"[i % 7] + "uvw"[i % 3] for i in range(60))
+    rows = [
+        (None, "a text without an id of its own"), (None, None), (1, None), (2, ""), (3, own), (3, own), (4, own), (5, f"{long.replace('w', 'q')} {item} and on"),
+        (6, f"short {item}"), (7, long), (None, item), (8, "!!!"),
+    ]
+    rows = [(i, t, "en", "s", len(t or ""), 1, "g") for i, t in rows]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, lines int, gone string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, "x" * 50), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, 0), (None, 0, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [(r.doc_id, r.n_tokens) for r in cp.run(spark, str(tmp_path)).collect()]
+    ids = [i for i, _ in got]
+    # rows 3 repeat an id and are one document; 4 is a copy; 5, 6 and the unnamed one hold a test item
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 3, 7, 8] and ids.count(None) == 2
+    assert dict(got)[1] is None and dict(got)[2] == 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
