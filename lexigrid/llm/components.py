@@ -47,3 +47,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = new
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def classes_of(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) for every id of ``members(id, rep)``.
+
+    Members of one ``rep`` are copies; ``links(u, v)`` join reps.  ``class_id`` is the class's
+    least rep, ``n_links`` how many links the id's (least) rep has.  An id with several reps joins their classes.
+    No group is collected: copies are never nodes of the graph.
+    """
+    each = members.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    several = each.filter("low <> high").select("id", "low")
+    bridges = members.join(several, "id").filter("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    roots = connected_components(links.select("u", "v").unionByName(bridges))
+    ends = links.select(F.col("u").alias("end")).unionByName(links.select(F.col("v").alias("end"))).groupBy("end").agg(F.count(F.lit(1)).alias("n"))
+    # both tables are by rep, so each copy is joined once, to one row
+    by_rep = roots.join(ends, roots["node"] == ends["end"], "left").select("node", "root", "n")
+    return each.join(by_rep, each["low"] == by_rep["node"], "left").select(
+        "id", F.coalesce("root", "low").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")
+    )

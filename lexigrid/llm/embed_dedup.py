@@ -3,7 +3,8 @@
 Unit vectors are cut into two halves, each with a codebook of its own (k-means on
 at most ``TRAIN_VECTORS`` vectors, those first by the hash of their id).  The
 product of the codebooks is a grid of cells; a vector is posted in the cell of its
-two nearest codes.  Every vector is a query: it visits cells in the order of the
+two nearest codes.  The codes grow with the square root of the vectors, to one for
+``PER_CODE`` of the sample.  Every vector is a query: it visits cells in the order of the
 summed distances to their codes, and each one met is verified by its cosine.
 
 How many cells are visited follows from the target recall: pairs exactly at the
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .components import connected_components
+from .components import classes_of
 
 THRESHOLD = 0.95
 TARGET_RECALL = 0.98
 TRAIN_VECTORS = 20_000
 PER_CELL = 32
-MAX_CODES = 1024
+PER_CODE = 8
 #: members and queries that are compared at a time; a fuller cell is cut into several such blocks
 MEMBERS, QUERIES = 2048, 4096
 
@@ -93,7 +94,7 @@ def _ranks(index: Index, query: np.ndarray, found: np.ndarray) -> np.ndarray:
 def build_index(sample: np.ndarray, n: int, threshold: float, target: float) -> Index:
     """Codebooks for ``n`` vectors and the number of cells to visit."""
     rng = np.random.default_rng(9)
-    k = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 1, MAX_CODES))
+    k = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 1, max(1, len(sample) // PER_CODE)))
     half = sample.shape[1] // 2
     index = Index(k_means(sample[:, :half], k, rng), k_means(sample[:, half:], k, rng), 1)
     query = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
@@ -157,14 +158,15 @@ def local_links(query: np.ndarray, x: np.ndarray, member: np.ndarray, y: np.ndar
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """One row per group: ``group_id`` (least vec_id), ``vec_ids`` sorted, ``n_vectors``.
-
-    Groups are the components under "cosine of at least ``threshold``".  Only the direction
-    of a vector counts.  Null ids, null vectors, vectors with a null or infinite
-    number or of length zero, and vectors not of the commonest dimension (the
-    greatest, if several are) belong to no group; nor do vectors by themselves.  Rows
-    that repeat an id are one vector with the links of all.  An empty table gives
-    an empty result.
+    """(vec_id, class_id, n_links): one row for each vector that has a direction.
+
+    Classes are the components under "cosine of at least ``threshold``"; ``class_id`` is the
+    least vec_id, its own if there is no near copy.  ``n_links`` counts the verified links of
+    the vector to different ones, of those that hold the class together; copies share them.
+    Only the direction of a vector counts.  Null ids, null vectors, vectors with a null or
+    infinite number or of length zero, and vectors not of the commonest dimension (the
+    greatest, if several are) have no row.  Rows that repeat an id are one vector with the
+    links of all.  An empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(
         "vec_id is not null and embedding is not null"
@@ -172,13 +174,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tar
     sizes = rows.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     common = sizes.orderBy(F.desc("n"), F.desc("d")).first()
     spark = vectors.sparkSession
-    schema = "group_id long, vec_ids array<long>, n_vectors long"
+    schema = "vec_id long, class_id long, n_links long"
     if common is None:
         return spark.createDataFrame([], schema)
     dimension = common.d
-    same = unit_vectors(rows, dimension).groupBy("unit").agg(F.collect_set("vec_id").alias("ids"))
-    classes = materialize(same.select("unit", F.array_min("ids").alias("rep"), "ids"), "vectors")
-    copies = classes.filter("size(ids) > 1").select(F.explode("ids").alias("u"), F.col("rep").alias("v"))
+    marks = materialize(unit_vectors(rows, dimension).withColumn("mark", F.unhex(F.md5("unit"))), "vectors")
+    reps = marks.groupBy("mark").agg(F.min("vec_id").alias("rep"))
+    named = materialize(marks.select("vec_id", "mark").join(reps, "mark").select(F.col("vec_id").alias("id"), "rep"), "members")
+    classes = materialize(marks.groupBy("unit").agg(F.min("vec_id").alias("rep")), "units")
     n = classes.count()
     if n == 0:
         return spark.createDataFrame([], schema)
@@ -223,10 +226,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tar
 
     key = ["cell", "m", "q"]
     links = keyed(queries, "qb", "mb").groupBy(*key).cogroup(keyed(members, "mb", "qb").groupBy(*key)).applyInArrow(verify, "u long, v long")
-    nodes = connected_components(links.unionByName(copies))
-    return nodes.groupBy(F.col("root").alias("group_id")).agg(F.sort_array(F.collect_list("node")).alias("vec_ids")).select(
-        "group_id", "vec_ids", F.size("vec_ids").cast("long").alias("n_vectors")
-    )
+    links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return classes_of(named, materialize(links, "links")).withColumnRenamed("id", "vec_id")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, materialize, read
-from .components import connected_components
+from .components import classes_of
 from .textkit import buffers, group_starts, shingle_hashes, slices, word_hashes
 
 COORDINATES = 96
@@ -137,19 +137,28 @@ def _link_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(m, pa.int32())], ["u", "v", "matches"])
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MATCHES, shingle: int = SHINGLE) -> DataFrame:
-    """One row per group: ``group_id`` (least doc_id), ``doc_ids`` sorted, ``n_docs``, ``min_matches``.
+def near_duplicate_classes(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MATCHES, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for each document with a word.
 
-    ``min_matches`` is the weakest verified link that holds the group together
-    (``k`` for identical signatures).  Rows with a null id or null text, and texts without
-    a word, belong to no group.  Rows that repeat a doc_id are one document; it
-    has the links of all its rows, and no group by itself.  An empty table gives
-    an empty result.
+    ``class_id`` is the least doc_id of the document's class, its own if it has no near
+    copy.  ``n_links`` counts the verified links of its signature to different ones, of
+    those that hold the class together; copies of one signature share them.
+
+    Rows with a null id or null text, and texts without a word, have no row.  Rows that
+    repeat a doc_id are one document; it has the links of all its rows.  An empty table
+    gives an empty result.
     """
     if not 1 <= t <= k:
         raise ValueError("the match threshold must lie between 1 and the number of coordinates")
-    members = signatures(docs, k, shingle).groupBy("sig").agg(F.collect_set("doc_id").alias("ids"))
-    classes = materialize(members.select("sig", F.array_min("ids").alias("rep"), "ids"), "classes")
+    marks = materialize(signatures(docs, k, shingle).withColumn("mark", F.unhex(F.md5("sig"))), "signatures")
+    reps = marks.groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    members = materialize(marks.select("doc_id", "mark").join(reps, "mark").select(F.col("doc_id").alias("id"), "rep", "mark"), "members")
+    firsts = members.filter("id = rep").select(F.col("id").alias("rep"), F.col("mark").alias("of")).distinct()
+    classes = (
+        marks.join(firsts, (marks["doc_id"] == firsts["rep"]) & (marks["mark"] == firsts["of"]), "left_semi")
+        .select(F.col("doc_id").alias("rep"), "sig").dropDuplicates()
+    )
+    classes = materialize(classes, "classes")
     by_token = Window.partitionBy("token")
     shared = (
         _postings(classes, k)
@@ -163,27 +172,18 @@ def near_duplicate_groups(docs: DataFrame, k: int = COORDINATES, t: int = MIN_MA
         .select("rep", F.array_distinct(F.expr(f"slice(lists, 1, size(lists) - {t} + 1)")).alias("lists"))
     )
     prefixed = classes.select("rep", "sig").join(prefix, "rep").select(F.explode("lists.list").alias("token"), "rep", "sig")
-    links = _links(prefixed, k, t).groupBy("u", "v").agg(F.max("matches").alias("matches"))
-    copies = classes.filter("size(ids) > 1").select(
-        F.explode("ids").alias("u"), F.col("rep").alias("v"), F.lit(k).cast("int").alias("matches")
-    )
-    links = materialize(links.filter("u <> v").unionByName(copies), "links")
-    nodes = connected_components(links.select("u", "v"))
-    weakest = (
-        links.join(nodes, links["u"] == nodes["node"]).groupBy("root").agg(F.min("matches").alias("min_matches"))
-    )
-    groups = nodes.groupBy("root").agg(F.sort_array(F.collect_list("node")).alias("doc_ids"))
-    return groups.join(weakest, "root").select(
-        F.col("root").alias("group_id"), "doc_ids", F.size("doc_ids").cast("long").alias("n_docs"), "min_matches"
-    )
+    links = _links(prefixed, k, t).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return classes_of(members.select("id", "rep"), materialize(links, "links")).withColumnRenamed("id", "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
-    """``docs`` with one document, the least doc_id, of each group; all columns kept."""
-    groups = near_duplicate_groups(docs, **how)
-    extra = groups.select(F.explode(F.expr("slice(doc_ids, 2, size(doc_ids))")).alias("gone"))
+    """``docs`` with one document, the least doc_id, of each class; all columns kept.
+
+    Rows with a null id, and those without a word, stay.
+    """
+    extra = near_duplicate_classes(docs, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
     return docs.join(extra, docs["doc_id"] == extra["gone"], "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(read(spark, sf_dir, "documents"))
+    return near_duplicate_classes(read(spark, sf_dir, "documents"))

@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -29,27 +30,35 @@ def corpus(n=120, seed=1):
     return rows
 
 
+def grouped(rows):
+    """Classes of two documents or more."""
+    out = defaultdict(list)
+    for r in rows:
+        out[r.class_id].append(r.doc_id)
+    return sorted(sorted(g) for g in out.values() if len(g) > 1)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_equal_brute_force(spark, seed):
     docs = frame(spark, corpus(seed=seed))
     rows = [(r.doc_id, np.frombuffer(bytes(r.sig), "<u4")) for r in nd.signatures(docs).collect()]
     want = signature_groups(rows, nd.MIN_MATCHES)
-    got = {r.group_id: r for r in nd.near_duplicate_groups(docs).collect()}
+    got = nd.near_duplicate_classes(docs).collect()
     assert len(want) > 5
-    assert sorted(r.doc_ids for r in got.values()) == want
+    assert grouped(got) == want
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
     by = dict(rows)
-    for r in got.values():
-        assert r.group_id == r.doc_ids[0] and r.n_docs == len(r.doc_ids)
-        assert nd.MIN_MATCHES <= r.min_matches <= nd.COORDINATES
-        if len(r.doc_ids) == 2:
-            assert r.min_matches == (by[r.doc_ids[0]] == by[r.doc_ids[1]]).sum()
+    for r in got:
+        assert r.class_id <= r.doc_id
+        partners = sum((by[r.doc_id] == x).sum() >= nd.MIN_MATCHES and (by[r.doc_id] != x).any() for i, x in rows)
+        assert r.n_links <= partners and bool(r.n_links) == bool(partners)
 
 
 def test_many_copies_and_close_copies(spark):
     base = " ".join(f"word{i}" for i in range(200))
     rows = [(i, base) for i in range(300)] + [(1000 + i, base.replace(f"word{i + 50}", "other")) for i in range(100)] + [(5000, "nothing in common here at all")]
-    got = nd.near_duplicate_groups(frame(spark, rows)).collect()
-    assert [(r.group_id, r.n_docs) for r in got] == [(0, 400)]
+    got = grouped(nd.near_duplicate_classes(frame(spark, rows)).collect())
+    assert [(g[0], len(g)) for g in got] == [(0, 400)]
     left = nd.drop_near_duplicates(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in left) == [0, 5000]
 
@@ -58,13 +67,19 @@ def test_odd_rows(spark):
     long = "many different words " + " ".join(map(str, range(60_000)))
     rows = [(1, None), (None, "some text that is here"), (None, "some text that is here"), (2, ""), (3, ""), (4, " .,;"), (5, "one"), (6, "ONE!"), (7, long), (8, long + " more"), (9, "alone here"), (9, "alone here")]
     docs = frame(spark, rows)
-    assert sorted(r.doc_ids for r in nd.near_duplicate_groups(docs).collect()) == [[5, 6], [7, 8]]
+    assert grouped(nd.near_duplicate_classes(docs).collect()) == [[5, 6], [7, 8]]
     left = nd.drop_near_duplicates(docs)
     assert left.columns == docs.columns and left.count() == len(rows) - 2
     empty = docs.limit(0)
-    assert nd.near_duplicate_groups(empty).count() == 0 and nd.drop_near_duplicates(empty).count() == 0
+    assert nd.near_duplicate_classes(empty).count() == 0 and nd.drop_near_duplicates(empty).count() == 0
 
 
 def test_threshold_must_fit(spark):
     with pytest.raises(ValueError):
-        nd.near_duplicate_groups(frame(spark, []), t=0)
+        nd.near_duplicate_classes(frame(spark, []), t=0)
+
+
+def test_an_id_with_several_texts_joins_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (3, c), (4, a), (4, b), (5, "z z z")]
+    assert grouped(nd.near_duplicate_classes(frame(spark, rows)).collect()) == [[1, 2, 4]]
