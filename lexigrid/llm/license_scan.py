@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from .common import doc_text, read
 from .textkit import Hasher, buffers, normalise, slices, word_spans
 
-_V = r"(?: version)? ?v?(\d)(?: 0)?"
+_V = r"(?: (?:license )?version)?,? ?v?(\d)(?: 0)?"
+_IS = r"(?:(?:this|the|all) (?:work|file|files|software|project|program|code|source code|library|package|module|repository|text|document|material) (?:is|are) )?(?:made )?"
+_UNDER = r"(?:licensed|released|distributed|available|provided|published|offered) under (?:the terms of )?(?:the |a |an )?(?:terms of (?:the )?)?"
+_TAIL = r"(?: (?:see|refer to|please see|as found in|a copy of|which can be found) .*)?"
 _LATER = r"(?: or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?)"
 
 SPDX = {
-    name.lower().replace("-", " ").replace(".", " "): name
+    name.lower(): name
     for name in (
         "Apache-2.0 MIT MIT-0 ISC BSD-2-Clause BSD-3-Clause BSD-4-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0 "
         "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 "
@@ -39,18 +42,19 @@ SPDX = {
 SENTENCES: list[tuple[str, str]] = [
     ("copyright", r"(?:portions )?copyright (?:c )?(?:\d{4}|[\w ]*\d{4}).*|copyright c .*|c copyright .*"),
     ("all-rights", r"all rights reserved"),
-    ("spdx:{0}", rf"spdx license identifier ({'|'.join(SPDX)})"),
-    ("apache-{0}", rf"(?:this (?:work|file|software|project) is )?licensed under the apache license{_V}(?: the license)?|(?:released|distributed|available) under the apache license{_V}"),
+    ("spdx:{0}", r"spdx license identifier .*"),
+    ("apache-{0}", rf"{_IS}{_UNDER}apache license{_V}(?: the license)?{_TAIL}|(?:the )?apache license{_V}"),
     ("apache-conditional", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at(?: https?)? www apache org licenses license 2 0(?: txt)?|you may obtain a copy of the license at"),
     ("apache-unless", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("mit-name", r"(?:the )?(?:mit|expat) license(?: mit)?|(?:this (?:work|file|software|project) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
+    ("mit-name", rf"(?:the )?(?:mit|expat) license(?: mit)?|{_IS}{_UNDER}(?:mit|expat) license{_TAIL}"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit-notice", r"the above copyright notice and this permission notice " r"shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
-    ("bsd-name-{0}", r"(?:the )?bsd ([23]) clause license|(?:released|licensed|distributed) under the bsd ([23]) clause license"),
+    ("bsd-name-{0}", rf"(?:the )?bsd ([23]) clause license|(?:the )?([23]) clause bsd license|{_IS}{_UNDER}bsd ([23]) clause license{_TAIL}|{_IS}{_UNDER}([23]) clause bsd license{_TAIL}"),
+    ("bsd-plain", rf"(?:the )?bsd license|{_IS}{_UNDER}bsd(?: style)? license{_TAIL}"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met(?: \d)?"),
     ("bsd-source", r"(?:\d )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
@@ -58,10 +62,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-advertising", r"(?:\d )?all advertising materials mentioning features or use of this software must display the following acknowledgement.*"),
     ("bsd-warranty", r"this software is provided by the .* as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("gpl-{0}", rf"(?:this (?:work|file|program|software|project) is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu (?:general public license|gpl)|gpl){_V}(?: only)?"),
-    ("gpl-{0}-later", rf"(?:this (?:work|file|program|software|project) is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu (?:general public license|gpl)|gpl){_V}{_LATER}"),
-    ("lgpl-{0}", r"(?:this (?:work|file|program|library|software|project) is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu (?:lesser|library) general public license(?: version)? v?(\d(?: 1)?)(?: 0)?"),
-    ("agpl-{0}", rf"(?:this (?:work|file|program|software|project) is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu affero general public license{_V}"),
+    ("gpl-{0}", rf"{_IS}{_UNDER}(?:gnu (?:general public license|gpl)|gpl){_V}(?: only)?{_TAIL}"),
+    ("gpl-{0}-later", rf"{_IS}{_UNDER}(?:gnu (?:general public license|gpl)|gpl){_V}{_LATER}{_TAIL}"),
+    ("lgpl-{0}", rf"{_IS}{_UNDER}(?:gnu )?(?:(?:lesser|library) general public license|lgpl)(?: version)? ?v?(\d(?: 1)?)(?: 0)?(?: only)?{_TAIL}"),
+    ("lgpl-{0}-later", rf"{_IS}{_UNDER}(?:gnu )?(?:(?:lesser|library) general public license|lgpl)(?: version)? ?v?(\d(?: 1)?)(?: 0)?{_LATER}{_TAIL}"),
+    ("agpl-{0}", rf"{_IS}{_UNDER}(?:gnu )?(?:affero general public license|agpl){_V}(?: only)?{_TAIL}"),
+    ("agpl-{0}-later", rf"{_IS}{_UNDER}(?:gnu )?(?:affero general public license|agpl){_V}{_LATER}{_TAIL}"),
     ("gnu-free-{0}", rf"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version (\d)(?: of the license)?"),
     ("gnu-free-{0}-later", rf"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version (\d) of the license{_LATER}"),
     ("gnu-or-later", r"or at your option any later version"),
@@ -70,12 +76,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("gnu-hope-end", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gnu-details", r"see the gnu general public license for more details"),
     ("gnu-received", r"you should have received a copy of the gnu general public license along with this program.*"),
-    ("mpl-{0}", rf"(?:this source code form is subject to the terms of|licensed under|released under) the mozilla public license v(?:ersion)? ?(\d) 0"),
+    ("mpl-{0}", rf"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?(\d) 0|{_IS}{_UNDER}(?:mozilla public license|mpl)(?: v(?:ersion)?)? ?(\d) 0{_TAIL}"),
     ("mpl-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
-    ("epl-{0}", rf"(?:licensed|released|distributed) under the (?:terms of the )?eclipse public license{_V}"),
+    ("epl-{0}", rf"{_IS}{_UNDER}eclipse public license{_V}{_TAIL}"),
     ("cc0", r"(?:licensed|released|dedicated|available) (?:under|to the public domain under) (?:the )?cc0(?: 1 0)?(?: universal)?|to the extent possible under law .* has waived all copyright.*"),
-    ("cc-{0}", r"(?:this (?:work|file|text|document) is )?(?:licensed|released|available|distributed) under (?:a |the )?cc (by(?: nc| sa| nd)* \d 0)"),
-    ("cc-long-{0}", r"(?:this (?:work|file|text|document) is )?(?:licensed|released|available|distributed) under (?:a |the )?creative commons (attribution(?: noncommercial| sharealike| noderivatives)* \d 0)(?: international)?(?: license)?"),
+    ("cc-{0}", rf"{_IS}{_UNDER}cc (by(?: nc| sa| nd)* \d 0){_TAIL}"),
+    ("cc-long-{0}", rf"{_IS}{_UNDER}creative commons (attribution(?: noncommercial| sharealike| noderivatives)* \d 0)(?: international)?(?: license)?{_TAIL}"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:this (?:work|file|software|code) is )?(?:hereby )?(?:released |placed |dedicated )?in(?:to)? the public domain"),
     ("licence-reference", r"(?:see|refer to) (?:the )?(?:accompanying )?(?:file )?(?:license|licence|copying)(?: file)?(?: txt| md)?(?: for (?:details|more information|the full license text|license information))?"),
@@ -97,13 +103,17 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-3-Clause", ("bsd-name-{0}?", "copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty?")),
     ("BSD-2-Clause", ("bsd-name-{0}?", "copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty?")),
     ("BSD-{0}-Clause", ("bsd-name-{0}",)),
+    ("BSD-2-Clause", ("bsd-plain", "copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty?")),
+    ("LicenseRef-BSD", ("bsd-plain",)),
     ("ISC", ("isc-grant", "bsd-warranty?")),
     ("GPL-{0}.0-or-later", ("gnu-free-{0}-later", "gnu-hope?", "gnu-hope-start?", "gnu-hope-end?", "gnu-details?", "gnu-received?")),
     ("GPL-{0}.0-or-later", ("gnu-free-{0}", "gnu-or-later", "gnu-hope?", "gnu-hope-start?", "gnu-hope-end?", "gnu-details?", "gnu-received?")),
     ("GPL-{0}.0-only", ("gnu-free-{0}", "gnu-hope?", "gnu-hope-start?", "gnu-hope-end?", "gnu-details?", "gnu-received?")),
     ("GPL-{0}.0-or-later", ("gpl-{0}-later",)),
     ("GPL-{0}.0-only", ("gpl-{0}",)),
-    ("LGPL-{0}", ("lgpl-{0}",)),
+    ("LGPL-{0}-or-later", ("lgpl-{0}-later",)),
+    ("LGPL-{0}-only", ("lgpl-{0}",)),
+    ("AGPL-{0}.0-or-later", ("agpl-{0}-later",)),
     ("AGPL-{0}.0-only", ("agpl-{0}",)),
     ("MPL-{0}.0", ("mpl-{0}", "mpl-copy?")),
     ("EPL-{0}.0", ("epl-{0}",)),
@@ -118,6 +128,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 
 _LONG_NAMES = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd"}
 _PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _CUE_HASHES = np.zeros(0, np.uint64)
 
 
@@ -130,15 +141,36 @@ def identifier(sentence: str) -> tuple[str, str] | None:
     return None
 
 
+def spdx_names(expression: str) -> list[str]:
+    """The known licences of an SPDX expression, in order; a "+" is "or later", an exception stays with its licence."""
+    names: list[str] = []
+    words = re.findall(r"[A-Za-z0-9.+-]+", expression)
+    at = 0
+    while at < len(words):
+        word = words[at].rstrip(".")
+        plain = word.rstrip("+")
+        name = SPDX.get(plain.lower())
+        if name is None:
+            # what follows the expression, such as the end of a comment, is not part of it
+            if at and words[at].upper() not in ("OR", "AND"):
+                break
+            at += 1
+            continue
+        if word != plain:
+            name = f"{name}-or-later" if f"{name.lower()}-or-later" in SPDX else f"{name}+"
+        if at + 2 < len(words) and words[at + 1].upper() == "WITH":
+            name, at = f"{name} WITH {words[at + 2].rstrip('.')}", at + 2
+        names.append(name)
+        at += 1
+    return names
+
+
 def _title(licence: str, part: str) -> str:
     if licence == "CC-{0}":
         words = [_LONG_NAMES.get(w, w) for w in part.split()]
         part = "-".join(words[:-2]).upper() + f"-{words[-2]}.{words[-1]}"
-    elif licence == "LGPL-{0}":
+    elif licence.startswith("LGPL-{0}"):
         part = part.replace(" ", ".") if " " in part else f"{part}.0"
-        return f"LGPL-{part}-only"
-    elif licence == "{0}":
-        part = SPDX[part]
     return licence.replace("{0}", part)
 
 
@@ -187,7 +219,7 @@ def known_sentences(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, lis
     line = raw == 10
     blank = line & (after == 10) | line & (after == 13)
     new_row = np.r_[True, row[1:] != row[:-1]]
-    found: dict[int, dict[tuple[int, int], tuple[str, str]]] = {}
+    found: dict[int, dict[tuple[int, int], list[tuple[str, str]]]] = {}
     for marks in (stop | blank, stop | line):
         sums = np.r_[0, np.cumsum(marks)]
         opens = new_row | np.r_[True, sums[start[1:]] > sums[end[:-1]]]
@@ -198,13 +230,18 @@ def known_sentences(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, lis
             a, b = int(start[first[u]]), int(end[last[u]])
             text, _ = normalise(raw[a:b], np.array([0, b - a]))
             name = identifier(text.tobytes().decode("utf-8", "replace"))
-            if name:
-                found.setdefault(int(row[first[u]]), {})[a, b] = name
+            if name and name[0] == "spdx:{0}":
+                tag = _TAG.match(raw[a : int(off[row[first[u]] + 1])].tobytes())
+                names = [("spdx:{0}", n) for n in spdx_names(tag[1].decode("utf-8", "replace"))] if tag else []
+                if names:
+                    found.setdefault(int(row[first[u]]), {})[a, b] = names
+            elif name:
+                found.setdefault(int(row[first[u]]), {})[a, b] = [name]
     for r in sorted(found):
         spans, sequence, until = sorted(found[r].items(), key=lambda s: (s[0][0], -s[0][1])), [], -1
-        for (a, b), name in spans:
+        for (a, b), names in spans:
             if a >= until:  # a line inside a known sentence says nothing more
-                sequence.append(name)
+                sequence += names
                 until = b
         yield r, sequence
 
@@ -215,7 +252,8 @@ def scan(docs: DataFrame) -> DataFrame:
     ``licences`` lists SPDX names once each, in order of appearance; ``left_over`` the
     known sentences that no rule took (such as a copyright line).  ``status`` is
     ``licensed``, ``unclear`` (only left-over sentences) or ``none``.  Null and empty
-    texts have no sentence: empty lists and ``none``.  Ids may be null or repeat.
+    texts have no sentence: empty lists and ``none``.  Ids may be null or repeat.  Texts
+    are scanned whole, however long; of two sentences that begin alike the longer counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,3 +121,24 @@ def test_rules_in_order():
     assert ls.match_rules([("gnu-free-{0}", "2"), ("gnu-or-later", "")]) == (["GPL-2.0-or-later"], [])
     assert ls.match_rules([("copyright", ""), ("bsd-grant", ""), ("bsd-source", ""), ("bsd-binary", ""), ("bsd-endorse", "")]) == (["BSD-3-Clause"], [])
     assert ls.match_rules([("bsd-grant", ""), ("mit-name", "")]) == (["MIT"], ["bsd-grant"])
+
+
+def test_everyday_notices(spark):
+    want = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND ISC */": ["GPL-2.0-only", "BSD-3-Clause", "ISC"],
+        "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": ["Apache-2.0 WITH LLVM-exception"],
+        "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: MPL-2.0+\nint x;": ["MPL-2.0+"],
+        "SPDX-License-Identifier: LicenseRef-Secret": [],
+        "Licensed under the GNU Lesser General Public License version 2.1 or later.": ["LGPL-2.1-or-later"],
+        "This library is licensed under the GNU Lesser General Public License v3.": ["LGPL-3.0-only"],
+        "This program is distributed under the terms of the GNU Affero General Public License version 3 or any later version.": ["AGPL-3.0-or-later"],
+        "This code is licensed under the MIT license, see LICENSE.": ["MIT"],
+        "Released under the BSD license.": ["LicenseRef-BSD"],
+        "This project is licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "The license of my dog has expired.": [],
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licences for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == want
