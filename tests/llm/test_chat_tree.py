@@ -47,14 +47,19 @@ def brute(convs):
 def check(rows, convs):
     trees, places = brute(convs)
     emitted = {}
-    for r in sorted(rows, key=lambda r: (r.tree_id, r.segment)):
-        assert r.start == len(emitted.setdefault(r.tree_id, []))
-        emitted[r.tree_id] += r.tokens
+    assert sorted(r.conv_id for r in rows) == sorted(convs)
+    for r in sorted(rows, key=lambda r: (r.tree_id, r.segment, not r.tokens)):
+        assert r.end == r.start + len(r.tokens)
+        if r.tokens:
+            assert r.start == len(emitted.setdefault(r.tree_id, []))
+            emitted[r.tree_id] += r.tokens
         tree, want = places[r.conv_id]
         seen = [p for a in r.attends for p in range(a["first"], a["until"])] + list(range(r.start, r.start + len(r.tokens)))
         assert (tree, want) == (r.tree_id, seen)
         assert r.position_ids == list(range(len(seen)))[len(seen) - len(r.tokens) :]
     assert emitted == trees
+    ends = {(r.tree_id, r.segment): r for r in rows if r.tokens}
+    assert all(ends[r.tree_id, r.segment].start < r.end <= ends[r.tree_id, r.segment].end for r in rows)
 
 
 def test_equals_a_walk_of_the_trie(spark):
@@ -63,7 +68,7 @@ def test_equals_a_walk_of_the_trie(spark):
     random.Random(1).shuffle(rows)
     got = ct.chat_trees(frame(spark, rows)).collect()
     check(got, convs)
-    assert len(got) < len(convs) and any(len(r.attends) > 1 for r in got)
+    assert any(not r.tokens for r in got) and any(len(r.attends) > 1 for r in got)
 
 
 def test_odd_rows(spark):
@@ -77,7 +82,7 @@ def test_odd_rows(spark):
     }
     got = ct.chat_trees(frame(spark, rows)).collect()
     check(got, convs)
-    assert sorted(r.conv_id for r in got) == [1, 2, 4, 5]
+    assert [r.conv_id for r in got if not r.tokens] == [6]
     assert ct.chat_trees(frame(spark, [])).count() == 0
     assert ct.chat_trees(frame(spark, [(None, None, None, None)])).count() == 0
 
@@ -88,7 +93,31 @@ def test_deeper_branches_first():
     b = ct.cut_path(5, [1, 1, 5, 5], sizes)
     key = lambda s: [(p["up"], p["owner"]) for p in s["place"]]
     assert key(a) < key(b) and a["ancestors"] == [{"owner": 1, "n": 9}] and b["first_position"] == 5
-    assert ct.cut_path(9, [1, 1], [1, 1]) is None
+    c = ct.cut_path(9, [1, 1], [2, 3])
+    assert (c["within"], c["first_position"], c["n_tokens"], c["ancestors"]) == (1, 5, 0, [{"owner": 1, "n": 5}])
+
+
+def test_one_tree_is_spread_over_tasks(spark):
+    """Thousands of conversations under one system prompt: no task orders them all."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id as conv_id", "explode(array(named_struct('t', 0L, 'r', 'system', 'x', 'be kind'), named_struct('t', 1L, 'r', 'user', 'x', concat('q', id)))) as s")
+    table = rows.selectExpr("conv_id", "s.t as turn", "s.r as role", "s.x as text").repartition(8)
+    # sizes of one file each, and no joining of small ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = ct._segments(ct.materialize(ct._paths(table, ct.VOCABULARY), "paths"))
+        placed = ct._placed(cut.filter("within is null"))
+        got = sorted((r.segment, r.start, r.conv_id) for r in placed.collect())
+        spread = cut.repartitionByRange("tree_id", "place").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in spread) < n / 2
+    assert [s for s, _, _ in got] == list(range(1, n + 1)) and [c for _, _, c in got] == list(range(n))
+    sizes = {r.conv_id: r.n_tokens for r in cut.select("conv_id", "n_tokens").collect()}
+    at = 0
+    for _, start, c in got:
+        assert start == at
+        at += sizes[c]
 
 
 def test_whole_table(spark, sf_dir):
