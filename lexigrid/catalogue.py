@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from .operators.fuzzy import auto_expansions, fuzzy_join, fuzzy_matches, nearest
 from .operators.highlight import highlight
 from .operators.index import SearchIndex, contiguous_versions
 from .plans.options import IndexOptions
-from .sources.tables import materialize
+from .sources.tables import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +140,18 @@ def variant_flatten(spark, sf_dir):
     return flatten(read(spark, sf_dir, "events").select("event_id", "event_type", "props"), ["event_id"], ["props"])
 
 
+@query(
+    "json_leaves",
+    "SELECT c_custkey, unnest(['profile.name', 'profile.tags.0', 'profile.tags.1.segment']) AS field, unnest([c_name, 'tag', c_mktsegment]) AS value FROM customer",
+)
+def json_leaves(spark, sf_dir):
+    """JSON texts with nested objects, arrays, numbers and nulls; their string leaves by dotted path."""
+    tags = F.array(F.lit('"tag"'), F.concat(F.lit('{"segment":'), F.to_json(F.array("c_mktsegment")).substr(F.lit(2), F.length("c_mktsegment") + 2), F.lit(',"none":null,"n":1.5}')))
+    name = F.to_json(F.array("c_name")).substr(F.lit(2), F.length("c_name") + 2)
+    text = F.concat(F.lit('{"name":'), name, F.lit(',"balance":'), F.col("c_acctbal"), F.lit(',"empty":{},"tags":['), F.array_join(tags, ","), F.lit("]}"))
+    return flatten(read(spark, sf_dir, "customer").select("c_custkey", text.alias("profile")), ["c_custkey"], ["profile"])
+
+
 @query("term_frequency", f"WITH {_tokens_sql()} SELECT term, doc_id, field, CAST(tf AS INTEGER) AS tf, dl FROM post JOIN lens USING (doc_id, field)")
 def term_frequency(spark, sf_dir):
     return bm25f.postings(texts(spark, sf_dir)).withColumnRenamed("internal_id", "doc_id")
@@ -212,16 +225,16 @@ def bm25f_with_docs(spark, sf_dir):
     _scores_sql({"text": 1}, "SELECT term FROM q") .replace("WITH ", "WITH q AS (SELECT DISTINCT item_id, lower(token) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\w+')) AS token FROM benchmark)), ", 1)
     + f", summed AS (SELECT item_id, doc_id, {_ADDED} FROM scores JOIN q USING (term) GROUP BY item_id, doc_id), "
     "ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM summed) "
-    "SELECT item_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
+    "SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10",
 )
 def bm25f_batch(spark, sf_dir):
-    """Every test item is a query; copies tie up to rounding, so the score at each rank is compared."""
+    """Every test item is a query; equal documents tie exactly, and then the least id comes first."""
     found = texts(spark, sf_dir, fields=["text"])
     terms = bm25f.query_terms(read(spark, sf_dir, "benchmark"), analysis.default(), "item_id")
     n, average = bm25f.collection_size(bm25f.field_stats(bm25f.field_lengths(found)), {"text": 1.0})
     post = bm25f.postings(found).join(terms.select("term").distinct(), "term", "left_semi")
     best = bm25f.rank_many(bm25f.term_scores(post, {"text": 1.0}, n, average), terms, 10)
-    return best.select(F.col("query_id").alias("item_id"), "rank", F.round("score", 6).alias("score"))
+    return best.select(F.col("query_id").alias("item_id"), "rank", F.col("internal_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _PART = {"table": "part", "key": "p_partkey", "fields": ["p_name", "p_type"]}
@@ -369,6 +382,34 @@ def multimap_lookup(spark, sf_dir):
     return Dictionary.of(read(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_partkey")._words(True, None)
 
 
+@query("dictionary_lookup", "SELECT p_brand AS word, list(p_partkey ORDER BY p_partkey) AS values FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY p_brand")
+def dictionary_lookup(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    brand = part.agg(F.min("p_brand")).first()[0]
+    values = Dictionary.of(part, "p_brand", "p_partkey", "p_partkey").lookup(brand)
+    return spark.createDataFrame([(brand, values)], "word string, values array<long>")
+
+
+_BRANDS = "SELECT p_brand AS word, list(p_partkey ORDER BY p_partkey) AS values, count(*) AS n FROM part GROUP BY p_brand"
+
+
+@query("dictionary_prefix", f"SELECT word, CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS rank, values FROM ({_BRANDS}) WHERE starts_with(word, 'Brand#') AND n % 2 = 0 ORDER BY word LIMIT 7")
+def dictionary_prefix(spark, sf_dir):
+    """Keys that begin alike, kept by a predicate on their values."""
+    return Dictionary.of(read(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_partkey").prefix("Brand#", 7, F.size("values") % 2 == 0)
+
+
+@query("dictionary_fuzzy", f"SELECT word, levenshtein(word, 'Brand#1') AS distance, CAST(row_number() OVER (ORDER BY levenshtein(word, 'Brand#1'), word) AS INTEGER) AS rank, values FROM ({_BRANDS}) WHERE levenshtein(word, 'Brand#1') <= 1".replace("levenshtein(word, 'Brand#1') AS", "CAST(levenshtein(word, 'Brand#1') AS INTEGER) AS"))
+def dictionary_fuzzy(spark, sf_dir):
+    return Dictionary.of(read(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_partkey").fuzzy("Brand#1", 1)
+
+
+@query("dictionary_find", "SELECT n_name AS word, CAST(levenshtein(n_name, 'IRELAND') AS INTEGER) AS distance, CAST(row_number() OVER (ORDER BY levenshtein(n_name, 'IRELAND'), n_name) AS INTEGER) AS rank, [n_nationkey] AS values FROM nation")
+def dictionary_find(spark, sf_dir):
+    """Without a bound on the distance every word is ranked."""
+    return Dictionary.of(read(spark, sf_dir, "nation"), "n_name", "n_nationkey").find("IRELAND")
+
+
 @query("duplicate_ids", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def duplicate_ids(spark, sf_dir):
     """The ids a new batch would share with an index."""
@@ -448,6 +489,124 @@ def german_search(spark, sf_dir):
     return _language_search(spark, sf_dir, analysis.german(), "Die Einheiten und das Beste")
 
 
+# the index itself, over the parts
+
+_PART_EVEN = {"p_name": 1, "p_type": 1}
+_PART_ASKED = "red STEEL, small"
+_PART_IN = _list(["red", "steel", "small"])
+_AS_ID = "CAST(doc_id AS VARCHAR) AS id"
+_PART_TOTAL = f" SELECT {_AS_ID}, round(sum(score), 6) AS score FROM scores GROUP BY doc_id"
+
+
+def _part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_partkey", "p_name", "p_type", "p_size")
+
+
+def _part_index(spark: SparkSession, sf_dir: str, **options) -> SearchIndex:
+    return SearchIndex(spark, IndexOptions(order_by=("p_partkey",), **options)).insert(_part_docs(spark, sf_dir))
+
+
+def _scored(page: DataFrame) -> DataFrame:
+    return page.withColumn("score", F.round("score", 6))
+
+
+@query("index_page", _scores_sql(_PART_EVEN, _PART_IN, **_PART) + _SUMMED + f" SELECT rank, {_AS_ID}, round(score, 6) AS score FROM ranked WHERE rank > 10 AND rank <= 30")
+def index_page(spark, sf_dir):
+    return _scored(_part_index(spark, sf_dir).search(_PART_ASKED, limit=20, offset=10, include_docs=False))
+
+
+@query("index_fields", _scores_sql({"p_type": 2.5}, _PART_IN, **_PART) + _PART_TOTAL)
+def index_fields(spark, sf_dir):
+    return _scored(_part_index(spark, sf_dir).search(_PART_ASKED, fields=["p_type^2.5", "p_name^0"], include_docs=False)).drop("rank")
+
+
+@query(
+    "index_documents",
+    _scores_sql(_PART_EVEN, _PART_IN, **_PART) + _SUMMED
+    + f" SELECT rank, {_AS_ID}, p_name AS name, p_size AS size, array_to_string(list_transform(regexp_extract_all(p_type, '\\w+|\\W+'), lambda t: CASE WHEN lower(t) IN ({_PART_IN}) THEN '<i>' || t || '</i>' ELSE t END), '') AS marked "
+    "FROM ranked JOIN part ON doc_id = p_partkey WHERE rank <= 15",
+)
+def index_documents(spark, sf_dir):
+    """Kept documents of the page, with their matches marked."""
+    page = _part_index(spark, sf_dir, keep_documents=True).search(_PART_ASKED, limit=15, highlighted_fields=["p_type"], highlight_before="<i>", highlight_after="</i>")
+    return page.select("rank", "id", F.get_json_object("doc", "$.p_name").alias("name"), F.get_json_object("doc", "$.p_size").cast("int").alias("size"), F.col("highlighted_p_type").alias("marked"))
+
+
+@query("index_id_filter", _scores_sql(_PART_EVEN, _PART_IN, **_PART) + _PART_TOTAL.replace("FROM scores", "FROM scores WHERE CAST(doc_id AS VARCHAR) LIKE '%7'"))
+def index_id_filter(spark, sf_dir):
+    """The filter goes by the id and after the scores, so the statistics are those of all documents."""
+    return _scored(_part_index(spark, sf_dir).search(_PART_ASKED, id_filter=lambda i: i.endswith("7"), include_docs=False)).drop("rank")
+
+
+@query("index_stored", _scores_sql(_PART_EVEN, _PART_IN, **_PART) + _PART_TOTAL)
+def index_stored(spark, sf_dir):
+    """Saved, loaded and searched."""
+    path = f"{shared_dir(spark)}/lexigrid-stored-{uuid.uuid4().hex}"
+    _part_index(spark, sf_dir).save(path)
+    return _scored(SearchIndex.load(spark, path).search(_PART_ASKED, include_docs=False)).drop("rank")
+
+
+@query("index_synced", _scores_sql(_PART_EVEN, _PART_IN, **_PART) + _PART_TOTAL)
+def index_synced(spark, sf_dir):
+    """A remote index of the small parts, then two patches with the others, fetched in order."""
+    at = f"{shared_dir(spark)}/lexigrid-synced-{uuid.uuid4().hex}"
+    docs = _part_docs(spark, sf_dir)
+    now = SearchIndex(spark, IndexOptions(order_by=("p_partkey",))).insert(docs.filter("p_size <= 20"))
+    now.save(f"{at}/index")
+    for version, some in ((1, "p_size > 20 and p_size <= 35"), (2, "p_size > 35 or p_size is null")):
+        patch = now.create_patch(docs.filter(some))
+        patch.write(spark, f"{at}/patch-{version}")
+        now = now.apply_patch(patch)
+    options = IndexOptions(order_by=("p_partkey",), index_url=f"{at}/index", patch_url=f"{at}/patch-{{version}}")
+    first, _ = SearchIndex(spark, options).sync()
+    second, result = first.sync()
+    if (second.version, result.number_of_applied_patches) != (2, 2):
+        raise ValueError(f"the patches didn't arrive: {result}")
+    return _scored(second.search(_PART_ASKED, include_docs=False)).drop("rank")
+
+
+@query("index_removed", _scores_sql(_PART_EVEN, _PART_IN, **{**_PART, "table": "(SELECT * FROM part WHERE p_size <= 25)"}) + _PART_TOTAL)
+def index_removed(spark, sf_dir):
+    """Without some documents the index scores as if it had never held them."""
+    gone = _part_docs(spark, sf_dir).filter("p_size > 25").select("id")
+    return _scored(_part_index(spark, sf_dir).remove(gone).search(_PART_ASKED, include_docs=False)).drop("rank")
+
+
+_PART_NEAR = (
+    ", vocabulary AS (SELECT DISTINCT term AS word FROM post), best AS (SELECT word, levenshtein(word, 'rid') AS distance FROM vocabulary "
+    "WHERE levenshtein(word, 'rid') <= 2 ORDER BY distance, word LIMIT 3)"
+)
+
+
+@query("index_expanded", _scores_sql(_PART_EVEN, "SELECT word FROM best UNION ALL SELECT 'rid'", **_PART).replace(", w(field", f"{_PART_NEAR}, w(field", 1) + _PART_TOTAL)
+def index_expanded(spark, sf_dir):
+    """A misspelt word is widened to the nearest words of the index."""
+    built = _part_index(spark, sf_dir, enable_autocomplete=True)
+    return _scored(built.search("rid", fuzziness=2, max_expansions=3, include_docs=False)).drop("rank")
+
+
+@query("index_autocomplete", f"SELECT word, CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS rank FROM ({_PART_WORDS}) WHERE starts_with(word, 's') ORDER BY word LIMIT 4")
+def index_autocomplete(spark, sf_dir):
+    return _part_index(spark, sf_dir, enable_autocomplete=True).autocomplete("S", limit=4)
+
+
+_BATCH = [(1, "red steel"), (2, "small"), (3, "nothing of that sort")]
+
+
+@query(
+    "index_batch",
+    _scores_sql({"p_name": 2, "p_type": 1}, "SELECT term FROM q", **_PART).replace(
+        "WITH ", "WITH q AS (SELECT query_id, unnest(string_split(words, ' ')) AS term FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in _BATCH) + ") v(query_id, words)), ", 1
+    )
+    + f", summed AS (SELECT query_id, doc_id, {_ADDED} FROM scores JOIN q USING (term) GROUP BY query_id, doc_id) "
+    f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, {_AS_ID}, round(score, 6) AS score FROM summed "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 8",
+)
+def index_batch(spark, sf_dir):
+    asked = spark.createDataFrame(_BATCH, "query_id int, text string")
+    return _scored(_part_index(spark, sf_dir).search_batch(asked, fields=["p_name^2", "p_type"], limit=8))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of a weighted search over all fields."""
     return bm25f_top_k(spark, sf_dir)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,9 +85,21 @@ def german(stops: tuple[str, ...] | None = None, unicode: bool = False) -> Analy
     return _language("german", cistem_stem, stops, unicode)
 
 
-def custom(name: str, tokenize: Callable[[Column], Column] = word_tokens, prepare: Callable[[Column], Column] = F.lower, python: Callable[[str], str] | None = None) -> Analyzer:
-    """An analyser of one's own: Column functions, and a ``python`` one where no expression will do."""
-    return Analyzer(name, tokenize, prepare, stem=python)
+def python_tokenizer(split: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A tokeniser from a Python function, called on Arrow batches; none for a null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else [str(x) for x in split(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return lambda text: F.arrow_udf(run, "array<string>")(text)
+
+
+def custom(name: str, tokenize: Callable[[Column], Column] = word_tokens, prepare: Callable[[Column], Column] = F.lower, python: Callable[[str], str] | None = None, python_tokenize: Callable[[str], list[str]] | None = None) -> Analyzer:
+    """An analyser of one's own: Column functions, and ``python`` ones where no expression will do.
+
+    ``python`` maps a token to its term, ``python_tokenize`` a text to its tokens.
+    """
+    return Analyzer(name, python_tokenizer(python_tokenize) if python_tokenize else tokenize, prepare, stem=python)
 
 
 LANGUAGES: dict[str, Callable[[], Analyzer]] = {"default": default, "english": english, "german": german, "unicode": lambda: default(True)}

@@ -7,6 +7,8 @@ frequency saturates without a (k1 + 1) factor.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,26 @@ def term_hits(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     return texts.select("internal_id", "field", F.size(_kept()).alias("dl"), wanted.alias("wanted"))
 
 
+def _counted(terms: pa.Array) -> pa.Array:
+    """Each text's distinct terms with their numbers, all texts of a batch at once."""
+    flat = terms.flatten()
+    kind = pa.struct([("term", pa.string()), ("tf", pa.int32())])
+    sizes = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if not len(flat):
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(terms) + 1, np.int32)), pa.array([], kind))
+    coded = flat.dictionary_encode()
+    key = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32 | coded.indices.to_numpy(zero_copy_only=False)
+    key, n = np.unique(key, return_counts=True)
+    cuts = np.searchsorted(key, np.arange(len(sizes) + 1, dtype=np.int64) << 32).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(n.astype(np.int32))], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(cuts), pairs)
+
+
 def unfold(hits: DataFrame) -> DataFrame:
-    """(term, internal_id, field, tf, dl) of term hits."""
-    # the length was computed before this, once for a text and not for each of its terms
-    rows = hits.select("internal_id", "field", "dl", F.explode("wanted").alias("term"))
-    return rows.groupBy("term", "internal_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    """(term, internal_id, field, tf, dl) of term hits; a text's terms are counted in its own row, so nothing is moved."""
+    counted = F.arrow_udf(_counted, "array<struct<term:string,tf:int>>")(F.col("wanted"))
+    rows = hits.select("internal_id", "field", "dl", F.inline(counted))
+    return rows.select("term", "internal_id", "field", "tf", "dl")
 
 
 def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:

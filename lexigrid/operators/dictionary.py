@@ -65,18 +65,22 @@ class Dictionary:
         grouped = self._grouped(rows)
         return grouped if keep is None else grouped.filter(keep)
 
-    def prefix(self, prefix: str, limit: int | None = None, keep: Column | None = None) -> DataFrame:
+    def prefix(self, prefix: str, limit: int | None = None, keep: Column | None = None, collation: str | None = None) -> DataFrame:
         """(word, rank, values); ``keep`` is a predicate on the column ``values``."""
         rows = self._grouped(self.table.filter(F.col("key").startswith(prefix)))
         rows = rows if keep is None else rows.filter(keep)
-        return prefix_matches(rows, prefix, limit).join(rows, "word").select("word", "rank", "values")
+        return prefix_matches(rows, prefix, limit, collation=collation).join(rows, "word").select("word", "rank", "values")
 
-    def fuzzy(self, query: str | list[str], max_errors: int = 2, limit: int | None = None, keep: Column | None = None, collation: str | None = None) -> DataFrame:
+    def fuzzy(self, query: str | list[str], max_errors: int | None = 2, limit: int | None = None, keep: Column | None = None, collation: str | None = None) -> DataFrame:
         """(word, distance, rank, values); several queries share one limit and the least distance counts."""
         rows = self._words(True, keep)
         return fuzzy_matches(rows, query, max_errors, limit, distance=self.distance, collation=collation).join(rows, "word").select("word", "distance", "rank", "values")
 
+    def find(self, query: str, max_errors: int | None = None, limit: int | None = None) -> DataFrame:
+        """As ``fuzzy``, but without a bound on the distance unless one is given."""
+        return self.fuzzy(query, max_errors, limit)
+
     def nearest(self, query: str) -> str | None:
         spark = self.table.sparkSession
-        row = nearest_word(self._words(True, None), spark.createDataFrame([(query,)], "query string")).first()
+        row = nearest_word(self._words(True, None), spark.createDataFrame([(query,)], "query string"), distance=self.distance).first()
         return row.word if row else None

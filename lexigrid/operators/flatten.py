@@ -74,14 +74,15 @@ def json_leaves(column: Column, path: Column | None = None) -> Column:
     return F.arrow_udf(_json_leaves, LEAVES)(column, F.lit("") if path is None else path)
 
 
-def flatten(docs: DataFrame, keep: list[str], json_columns: list[str] = ()) -> DataFrame:
-    """(keep..., field, value) for every non-null string leaf of the other columns.
+def flatten(docs: DataFrame, keep: list[str], json_columns: list[str] = (), body: str | None = None) -> DataFrame:
+    """(keep..., field, value) for every non-null string leaf of the other columns, or of those in the struct ``body``.
 
     ``json_columns`` hold JSON texts of any shape, flattened as they come.
     """
+    inside = docs.schema.fields if body is None else docs.schema[body].dataType.fields
     parts = []
-    for f in docs.schema.fields:
-        column = F.col(f"`{f.name}`")
+    for f in inside:
+        column = F.col(f"`{f.name}`") if body is None else F.col(f"`{body}`").getField(f.name)
         part = json_leaves(column, F.lit(f.name)) if f.name in json_columns else leaves(column, f.dataType, F.lit(f.name))
         if part is not None:
             parts.append(part)

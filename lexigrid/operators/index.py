@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,15 @@ class Patch:
         found = FolderDriver(path).get(spark)
         return None if found is None else Patch(**found[0], tables=found[1])
 
+    def to_json(self) -> str:
+        """The whole patch in one text, to be served over HTTP; for small ones."""
+        return json.dumps(self.description() | tables_to_json(self.tables))
+
+    @staticmethod
+    def from_json(spark: SparkSession, text: str) -> Patch:
+        about, tables = json_to_tables(spark, text)
+        return Patch(about["index_id"], about["version"], about["doc_count"], tables, about["kind"])
+
 
 def _document_id(docs: DataFrame, id_field: str) -> Column:
     """The id, of a dotted path too; an error at run time where it is not a non-empty string."""
@@ -74,6 +84,8 @@ class SearchIndex:
     index_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
     version: int = 0
     doc_count: int = 0
+    #: ids of removed documents are not given again
+    next_id: int = 0
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], SCHEMAS[name])
@@ -87,24 +99,27 @@ class SearchIndex:
     def create_patch(self, docs: DataFrame) -> Patch:
         """What adding ``docs`` changes, computed once and written to the shared folder; the index stays as it is."""
         o = self.options
-        ided = docs.withColumn("_id", _document_id(docs, o.id_field))
-        ided = dense_ids(ided, list(o.order_by) if o.order_by else None, self.doc_count)
-        ids = ided.select("internal_id", F.col("_id").alias("id"))
+        # the document is one struct, so that no column of it can meet a name of ours
+        boxed = docs.select(_document_id(docs, o.id_field).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body"))
+        order = [F.col("body").getField(c) if c in docs.columns else F.col(f"body.{c}") for c in o.order_by] if o.order_by else None
+        ided = dense_ids(boxed, order, self.next_id)
+        ids = ided.select("internal_id", "id")
         twice = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
         again = twice.unionByName(ids.select("id").join(self.table("doc_ids").select("id"), "id", "left_semi")).first() if self.doc_count else twice.first()
         if again:
             raise ValueError(f"Duplicate document ID: {again.id}")
-        leaves = flatten(ided.drop("_id"), ["internal_id"], list(o.json_columns)).filter(F.col("field") != o.id_field)
+        leaves = flatten(ided, ["internal_id"], list(o.json_columns), "body").filter(F.col("field") != o.id_field)
         if o.indexed_fields:
             leaves = leaves.filter(F.col("field").isin(*o.indexed_fields))
-        texts = bm25f.analysed(leaves, self.analyzer)
+        # texts are analysed once, for all the tables made of them
+        texts = materialize(bm25f.analysed(leaves, self.analyzer), "texts")
         post = materialize(bm25f.postings(texts), "postings")
         lengths = materialize(bm25f.field_lengths(texts), "lengths")
         tables = {"postings": post, "field_lengths": lengths, "field_stats": bm25f.field_stats(lengths), "doc_ids": ids}
         if o.enable_autocomplete:
             tables["vocabulary"] = materialize(bm25f.vocabulary(texts), "vocabulary")
         if o.keep_documents:
-            tables["docs"] = ided.select("internal_id", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("doc"))
+            tables["docs"] = ided.select("internal_id", F.to_json("body").alias("doc"))
         return Patch(self.index_id, self.version + 1, ids.count(), tables)
 
     def apply_patch(self, patch: Patch, update_version: bool = True) -> SearchIndex:
@@ -121,14 +136,14 @@ class SearchIndex:
             tables["field_stats"] = tables["field_stats"].groupBy("field").agg(F.sum("doc_count").alias("doc_count"), F.sum("total_dl").alias("total_dl"))
         if "vocabulary" in self.tables and "vocabulary" in patch.tables:
             tables["vocabulary"] = tables["vocabulary"].distinct()
-        return replace(self, tables=tables, doc_count=self.doc_count + patch.doc_count, version=self.version + update_version)
+        return replace(self, tables=tables, doc_count=self.doc_count + patch.doc_count, next_id=self.next_id + patch.doc_count, version=self.version + update_version)
 
     def insert(self, docs: DataFrame) -> SearchIndex:
         """With the documents added; the version stays."""
         return self.apply_patch(self.create_patch(docs), update_version=False)
 
     def remove(self, ids: DataFrame | list[str]) -> SearchIndex:
-        """Without these documents (an extension); the version stays."""
+        """Without these documents (an extension); the version stays, and so do the words that autocomplete offers."""
         if isinstance(ids, list):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
         gone = self.table("doc_ids").join(ids.select("id"), "id", "left_semi").select("internal_id")
@@ -136,8 +151,7 @@ class SearchIndex:
         tables["field_stats"] = bm25f.field_stats(tables["field_lengths"])
         if "vocabulary" in self.tables:
             tables["vocabulary"] = self.tables["vocabulary"]
-        # ids are not given again, so the count that new ids start from stays
-        return replace(self, tables=tables)
+        return replace(self, tables=tables, doc_count=tables["doc_ids"].count() if "doc_ids" in tables else 0)
 
     # searching
 
@@ -169,11 +183,12 @@ class SearchIndex:
         return weights, *bm25f.collection_size(stats, weights)
 
     def search(self, query: str, how: SearchOptions | None = None, **options) -> DataFrame:
-        """(rank, id, score[, doc]); ``doc`` is the document as JSON."""
+        """(rank, id, score[, doc]) in the order of the ranks; ``doc`` is the document as JSON."""
         how = replace(how or SearchOptions(), **options)
-        getter = how.get_document or self.options.get_document
-        if getter is None and self.options.fetch_document_url:
-            getter = url_getter(self.options.fetch_document_url)
+        # the query's own getter goes first, then kept documents, then an address, then the index's getter
+        getter = how.get_document
+        if getter is None and not self.options.keep_documents:
+            getter = url_getter(self.options.fetch_document_url) if self.options.fetch_document_url else self.options.get_document
         if how.include_docs and not self.options.keep_documents and getter is None:
             raise ValueError("get_document is required: the index was built without keep_documents")
         terms = self.query_terms(query, how)
@@ -185,13 +200,15 @@ class SearchIndex:
             scores = scores.join(ids.filter(how.id_filter(F.col("id"))).select("internal_id"), "internal_id", "left_semi")
         # documents are fetched for the page alone
         page = bm25f.rank_one(scores, how.limit, how.offset).join(ids, "internal_id")
-        if not how.include_docs:
-            return page.select("rank", "id", "score")
-        if self.options.keep_documents:
+        if how.include_docs and getter is None:
             page = page.join(self.table("docs"), "internal_id", "left").select("rank", "id", "score", "doc")
         else:
-            page = fetch_documents(page.select("rank", "id", "score"), getter, how.ignore_errors)
-        return self._highlighted(page, terms, how)
+            page = page.select("rank", "id", "score")
+        # joins don't keep the order; a page is small, a whole ranking is sorted by ranges
+        page = page.orderBy("rank") if how.limit is None else page.repartition(1).sortWithinPartitions("rank")
+        if not how.include_docs:
+            return page
+        return self._highlighted(page if getter is None else fetch_documents(page, getter, how.ignore_errors), terms, how)
 
     def _highlighted(self, page: DataFrame, terms: list[str], how: SearchOptions) -> DataFrame:
         if not how.highlighted_fields:
@@ -223,7 +240,7 @@ class SearchIndex:
     # keeping
 
     def description(self) -> dict:
-        return {"index_id": self.index_id, "version": self.version, "doc_count": self.doc_count, "spec_version": 1, "options": self.options.stored()}
+        return {"index_id": self.index_id, "version": self.version, "doc_count": self.doc_count, "next_id": self.next_id, "spec_version": 1, "options": self.options.stored()}
 
     @staticmethod
     def _from(spark: SparkSession, stored: tuple[dict, dict[str, DataFrame]], options: IndexOptions | None, stored_first: bool) -> SearchIndex:
@@ -232,11 +249,12 @@ class SearchIndex:
         if options is None:
             merged = IndexOptions(**kept)
         elif stored_first:
-            merged = replace(options, **kept)
+            # what was left open when it was stored stays as the caller has it
+            merged = replace(options, **{k: v for k, v in kept.items() if v is not None})
         else:
             given = {k: v for k, v in vars(options).items() if v != getattr(IndexOptions(), k)}
             merged = replace(IndexOptions(**kept), **given)
-        return SearchIndex(spark, merged, tables, about["index_id"], about["version"], about["doc_count"])
+        return SearchIndex(spark, merged, tables, about["index_id"], about["version"], about["doc_count"], about.get("next_id", about["doc_count"]))
 
     def save(self, path: str) -> None:
         FolderDriver(path).persist(self.spark, self.description(), self.tables)
@@ -251,14 +269,11 @@ class SearchIndex:
 
     def to_json(self) -> str:
         """The whole index in one text; for small ones."""
-        tables = {n: [r.asDict(recursive=True) for r in t.collect()] for n, t in self.tables.items()}
-        return json.dumps(self.description() | {"tables": tables, "schemas": {n: t.schema.jsonValue() for n, t in self.tables.items()}})
+        return json.dumps(self.description() | tables_to_json(self.tables))
 
     @staticmethod
     def from_json(spark: SparkSession, text: str, options: IndexOptions | None = None) -> SearchIndex:
-        about = json.loads(text)
-        tables = {n: spark.createDataFrame(rows, T.StructType.fromJson(about["schemas"][n])) for n, rows in about["tables"].items()}
-        return SearchIndex._from(spark, (about, tables), options, stored_first=False)
+        return SearchIndex._from(spark, json_to_tables(spark, text), options, stored_first=False)
 
     def clone(self) -> SearchIndex:
         """Another handle on the same tables, which never change."""
@@ -287,29 +302,77 @@ class SearchIndex:
                 first, remote = now.version, True
                 while applied < max_version_updates:
                     path = o.patch_url.replace("{version}", str(first + applied + 1))
-                    found = FolderDriver(path).byte_size(self.spark)
+                    found, load = remote_patch(self.spark, path, dry_run)
                     if not found:
                         remote = False
                         break
                     size += found
                     if not dry_run:
-                        now = now.apply_patch(Patch.read(self.spark, path))
+                        now = now.apply_patch(load())
                     applied += 1
             if now.doc_count == 0 and o.index_url:
-                size += (found := FolderDriver(o.index_url).byte_size(self.spark))
+                found, load = remote_index(self.spark, o.index_url, dry_run)
+                size += found
                 remote = found > 0
                 if found and not dry_run:
-                    now = SearchIndex._from(self.spark, FolderDriver(o.index_url).get(self.spark), now.options, stored_first=True)
+                    now = SearchIndex._from(self.spark, load(), now.options, stored_first=True)
         if persist and not dry_run:
             written = now.persist()
         return now, SyncResult(loaded, written, remote, applied, size)
 
 
+def tables_to_json(tables: dict[str, DataFrame]) -> dict:
+    rows = {n: [r.asDict(recursive=True) for r in t.collect()] for n, t in tables.items()}
+    return {"tables": rows, "schemas": {n: t.schema.jsonValue() for n, t in tables.items()}}
+
+
+def json_to_tables(spark: SparkSession, text: str) -> tuple[dict, dict[str, DataFrame]]:
+    about = json.loads(text)
+    return about, {n: spark.createDataFrame(rows, T.StructType.fromJson(about["schemas"][n])) for n, rows in about["tables"].items()}
+
+
+def _remote(spark: SparkSession, url: str, dry_run: bool, from_json: Callable, from_folder: Callable) -> tuple[int, Callable]:
+    """(bytes, loader) of a folder on any file system or of a JSON text over HTTP; 0 bytes if there is none."""
+    if url.startswith(("http://", "https://")):
+        size, text = fetch(url, dry_run)
+        return size, lambda: from_json(text)
+    return FolderDriver(url).byte_size(spark), from_folder
+
+
+def remote_patch(spark: SparkSession, url: str, dry_run: bool = False) -> tuple[int, Callable[[], Patch]]:
+    return _remote(spark, url, dry_run, lambda text: Patch.from_json(spark, text), lambda: Patch.read(spark, url))
+
+
+def remote_index(spark: SparkSession, url: str, dry_run: bool = False) -> tuple[int, Callable[[], tuple]]:
+    return _remote(spark, url, dry_run, lambda text: json_to_tables(spark, text), lambda: FolderDriver(url).get(spark))
+
+
+def fetch(url: str, dry_run: bool = False, timeout: float = 60.0) -> tuple[int, str]:
+    """(bytes, text) at an HTTP address; (0, "") if there is nothing (404), any other failure is an error.
+
+    A dry run asks for the head alone, which must tell the length.
+    """
+    request = urllib.request.Request(url, method="HEAD" if dry_run else "GET")
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as found:  # noqa: S310
+            length = found.headers.get("Content-Length")
+            if dry_run:
+                if length is None:
+                    raise ValueError(f"{url} doesn't tell its length")
+                return int(length), ""
+            body = found.read()
+            return int(length or len(body)), body.decode()
+    except urllib.error.HTTPError as error:
+        if error.code == 404:
+            return 0, ""
+        raise
+
+
 def url_getter(template: str) -> Callable[[str], dict | None]:
     """A fetcher of one document from the address with its id in it."""
 
     def get(doc_id: str) -> dict | None:
-        with urllib.request.urlopen(template.replace("{id}", urllib.request.quote(doc_id, safe=""))) as found:  # noqa: S310
+        with urllib.request.urlopen(template.replace("{id}", urllib.request.quote(doc_id, safe="")), timeout=60) as found:  # noqa: S310
             return json.load(found)
 
     return get

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where a local session leaves it unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
         found = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its plan runs once and its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, until the driver's Python ends.
+
+    Its plan runs once, its lineage ends there, and it survives the loss of any executor.
+    """
+    path = f"{shared_dir(df.sparkSession)}/lexigrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            delete(spark, path)
+        except Exception:  # the session may be gone; the files are only temporary
+            pass
+    _written.clear()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of any URI that Spark reaches."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -156,3 +156,50 @@ def test_windowed_counts(spark):
     rows = spark.createDataFrame([("2024-01-01 10:05:00", "a b"), ("2024-01-01 10:50:00", "a"), ("2024-01-01 11:10:00", "a")], "at string, text string")
     got = windowed_term_counts(rows.selectExpr("cast(at as timestamp) as ts", "text"), "text", "ts").collect()
     assert sorted((r.window.start.hour, r.term, r.n) for r in got) == [(10, "a", 2), (10, "b", 1), (11, "a", 1)]
+
+
+def test_sync_over_http(spark, base, whole):
+    """An index and patches as JSON texts; 404 ends the updates, any other failure is an error."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lexigrid.operators.index import fetch
+
+    patch = base.create_patch(docs(spark, F6[2:]))
+    pages = {"/index": base.to_json(), "/patch-1": patch.to_json()}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = pages.get(self.path, "").encode()
+            self.send_response(500 if self.path == "/broken" else 200 if body else 404)
+            if self.path != "/silent":
+                self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write(body)
+
+        do_HEAD = do_GET
+
+        def log_message(self, *args):
+            pass
+
+    pages["/silent"] = "x"
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        options = IndexOptions(index_url=f"{at}/index", patch_url=f"{at}/patch-{{version}}", keep_documents=True, order_by=("id",))
+        dry, result = SearchIndex(spark, options).sync(dry_run=True)
+        assert dry.doc_count == 0 and result.bytes_loaded == len(pages["/index"]) and result.has_loaded_index_from_remote
+        first, result = SearchIndex(spark, options).sync()
+        assert first.doc_count == 2 and result.bytes_loaded == len(pages["/index"])
+        second, result = first.sync()
+        assert (second.version, result.number_of_applied_patches, result.has_loaded_index_from_remote) == (1, 1, False)
+        assert results(second) == results(whole)
+        assert fetch(f"{at}/nothing") == (0, "")
+        with pytest.raises(Exception, match="500"):
+            fetch(f"{at}/broken")
+        with pytest.raises(ValueError, match="length"):
+            fetch(f"{at}/silent", dry_run=True)
+    finally:
+        server.shutdown()

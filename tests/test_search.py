@@ -172,3 +172,42 @@ def test_ndcg(spark):
     want = (1 / math.log2(3) + 2 / 2) / (2 + 1 / math.log2(3) + 1 / 2)
     assert got == {1: pytest.approx(want), 2: 0.0, 4: 0.0}
     assert mean_ndcg(ranked, judged).first().ndcg == pytest.approx(want / 3)
+
+
+def test_columns_with_names_of_ours(spark):
+    rows = [("a", "mongo7", 5, "x", 1, 2, "title words", "dotted value")]
+    schema = "id string, _id string, internal_id int, _place string, _part int, _first int, body string, `a.b` string"
+    built = SearchIndex(spark, IndexOptions(keep_documents=True, order_by=("a.b", "_place"))).insert(spark.createDataFrame(rows, schema))
+    for word in ("mongo7", "x", "title", "dotted"):
+        assert ids(built.search(word)) == ["a"]
+    assert built.get_document("a") == {"id": "a", "_id": "mongo7", "internal_id": 5, "_place": "x", "_part": 1, "_first": 2, "body": "title words", "a.b": "dotted value"}
+
+
+def test_the_querys_getter_goes_first(spark, greetings, tmp_path):
+    own = greetings.search("world", get_document=lambda i: {"own": i})
+    assert [r.doc for r in own.collect()] == ['{"own": "1"}', '{"own": "2"}']
+    (tmp_path / "1.json").write_text('{"from": "address"}')
+    (tmp_path / "2.json").write_text('{"from": "address"}')
+    both = index(spark, F2, keep_documents=False, fetch_document_url=f"file://{tmp_path}/{{id}}.json", get_document=lambda i: {"from": "getter"})
+    assert {r.doc for r in both.search("world").collect()} == {'{"from": "address"}'}
+
+
+def test_results_come_in_order(spark):
+    built = index(spark, [(f"{i:03}", " ".join(["fox"] * (1 + i % 5)) + " dog" * (i % 7), None) for i in range(60)])
+    for how in ({}, {"limit": 25}, {"limit": 10, "offset": 5}, {"include_docs": False}):
+        got = [r.rank for r in built.search("fox dog", **how).collect()]
+        assert got == sorted(got) and len(got) > 9
+
+
+def test_removed_documents_are_not_counted(spark):
+    built = index(spark, F2).remove(["1"])
+    assert built.doc_count == 1 and ids(built.search("world")) == ["2"]
+    again = built.insert(spark.createDataFrame([("1", "world", "new")], "id string, title string, content string"))
+    assert again.doc_count == 2 and sorted(r.internal_id for r in again.table("doc_ids").collect()) == [1, 2]
+
+
+def test_a_tokenizer_in_python(spark):
+    from lexigrid.functions.analysis import custom
+
+    built = index(spark, [("1", "a-b c", None), ("2", "c", None)], language=custom("dashes", python_tokenize=lambda t: t.split("-")))
+    assert ids(built.search("B c")) == ["1"] and ids(built.search("c")) == ["2"]

@@ -92,3 +92,16 @@ def test_highlight_keeps_all_else(spark):
     got = {r.i: r.h for r in rows.select("i", highlight(F.col("t"), ["a", "bc"], analysis.default(), "[", "]").alias("h")).collect()}
     assert got[2] is None and got[4] == "[A]-b,[a]"
     assert all(got[i] is None or got[i].replace("[", "").replace("]", "") == t for i, t in enumerate(texts))
+
+
+def test_nearest_and_find_take_any_distance(spark):
+    from pyspark.sql import functions as F
+
+    from lexigrid.operators.dictionary import Dictionary
+
+    words = spark.createDataFrame([("ab",), ("zzz",), ("abcdef",)], "word string")
+    by_length = Dictionary.of(words, distance=lambda a, b: F.abs(F.length(a) - F.length(b)))
+    assert by_length.nearest("abc") == "zzz" and Dictionary.of(words).nearest("abc") == "ab"
+    assert [(r.word, r.distance) for r in by_length.find("abc").orderBy("rank").collect()] == [("zzz", 0), ("ab", 1), ("abcdef", 3)]
+    assert [(r.word, r.distance) for r in Dictionary.of(words).find("abc").orderBy("rank").collect()] == [("ab", 1), ("abcdef", 3), ("zzz", 3)]
+    assert [r.word for r in Dictionary.of(words).find("abc", 1).collect()] == ["ab"]
