@@ -1,59 +1,13 @@
-"""Shared plumbing of the training-data operators: shared-folder tables, shapes of inputs."""
+"""Shared plumbing of the training-data operators: shapes of inputs; tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
-
-    A local session that names none (unit tests) gets a temporary folder; on a
-    cluster its lack is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
-        found = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage, computes the plan once, and survives the loss of any
-    executor.  The table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
+from ..sources.tables import materialize, shared_dir
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone; the files are only temporary
-            pass
-    _written.clear()
+__all__ = ["doc_text", "materialize", "partitions_for", "read", "shared_dir"]
 
 
 def doc_text(docs: DataFrame) -> DataFrame:
