@@ -54,14 +54,14 @@ def _shares(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def word_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word, and of the beginnings of longer words."""
+    """32-bit hash and row of every word, and of the beginnings of longer words."""
     start, end, row = word_spans(raw, off)
     hasher = Hasher(raw)
-    flat, rows = [hasher(start, end).view(np.int64)], [row]
+    flat, rows = [hasher(start, end).astype(np.uint32).view(np.int32)], [row]
     for i, n in enumerate(BEGINNINGS, 1):
         longer = end - start > n
         at = start[longer]
-        flat.append(hasher(at, at + n).view(np.int64) ^ i)  # a beginning is not the word it spells
+        flat.append(hasher(at, at + n).astype(np.uint32).view(np.int32) ^ np.int32(i))  # a beginning is not the word it spells
         rows.append(row[longer])
     return np.concatenate(flat), np.concatenate(rows)
 
@@ -202,7 +202,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
                 ["doc_id", "same", "words", "shares", *names],
             )
 
-    schema = "doc_id long, same long, words array<long>, shares array<double>, " + ", ".join(f"{y} int" for y in names)
+    schema = "doc_id long, same long, words array<int>, shares array<double>, " + ", ".join(f"{y} int" for y in names)
     found = texts.join(F.broadcast(sample), ["doc_id", "same"]).groupBy("doc_id", "same", *names).agg(F.min("text").alias("text"))
     # executors do the featurising; the driver gets ``bound`` rows at most
     return found.mapInArrow(words, schema).toArrow()
@@ -219,8 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     lists = rows["words"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     n = rows.num_rows
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    row = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int32)
     shares = np.array(rows["shares"].to_pylist(), float).reshape(n, 4)
     labelled = np.column_stack([rows[y].to_numpy() for y in names]) if n else np.zeros((0, len(names)), int)
     return fit_chain(flat, row, shares, labelled)
