@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, read
+from .common import doc_text, materialize, read
 from .textkit import Hasher, _pow, buffers, group_starts, mix64, slices, word_spans
 
 DEPTH = 3
@@ -66,8 +67,13 @@ class Lines:
         self.prints = (token >> np.uint64(48)).astype("<u2")
         self.first, self.n = first[keep], n[keep]
 
-    def print_of(self, i: int) -> bytes:
-        return self.prints[self.first[i] : self.first[i] + self.n[i]].tobytes()
+    def prints_of(self, at: np.ndarray) -> pa.Array:
+        """Two bytes for each token of the lines ``at``."""
+        n = self.n[at]
+        ends = np.cumsum(n)
+        data = self.prints[np.repeat(self.first[at] - ends + n, n) + np.arange(n.sum())]
+        offsets = (2 * np.r_[0, ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _distinct_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -79,7 +85,7 @@ def _distinct_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
             if len(lines.line):
                 _, at, n = np.unique(lines.line, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.leaf[at]), pa.array(lines.line[at]), pa.array([lines.print_of(i) for i in at], pa.binary()), pa.array(n.astype(np.int64))],
+                    [pa.array(lines.leaf[at]), pa.array(lines.line[at]), lines.prints_of(at), pa.array(n.astype(np.int64))],
                     ["leaf", "line", "print", "n"],
                 )
 
@@ -108,44 +114,60 @@ def grow_leaf(prints: list[bytes], similarity: float) -> list[int]:
     return given
 
 
+def _whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, which come sorted by leaf, in tables that cut no leaf."""
+    held, last = [], None
+    for part in batches:
+        if not part.num_rows:
+            continue
+        leaf = part.column("leaf").to_numpy()
+        cut = int(group_starts(leaf)[-1])
+        if cut or (held and leaf[0] != last):
+            yield pa.Table.from_batches([*held, part.slice(0, cut)])
+            held = []
+        held.append(part.slice(cut))
+        last = leaf[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _recurring(table: pa.Table, similarity: float, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """(line, template, needed) of the recurring lines of whole leaves; Python runs only for leaves of several lines."""
+    leaf, line, n = (table.column(c).to_numpy() for c in ("leaf", "line", "n"))
+    width = pc.binary_length(table.column("print")).to_numpy() // 2  # two bytes a token
+    needed = np.where(width >= LONG_TOKENS, min(LONG_DOCS, min_docs), min_docs).astype(np.int32)
+    starts = group_starts(leaf)
+    hopeful = np.add.reduceat(n, starts) >= needed[starts]
+    if not hopeful.any():
+        return
+    rows = np.flatnonzero(np.repeat(hopeful, np.diff(np.r_[starts, len(leaf)])))
+    rows = rows[np.lexsort((line[rows], leaf[rows]))]
+    leaf, line, n = leaf[rows], line[rows], n[rows]
+    once = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (line[1:] != line[:-1])])
+    n = np.add.reduceat(n, once)
+    rows, leaf, line = rows[once], leaf[once], line[once]
+    template, found = line.copy(), n.copy()
+    starts = group_starts(leaf)
+    ends = np.r_[starts[1:], len(leaf)]
+    several = ends - starts > 1
+    prints = table.column("print").take(pa.array(rows[np.repeat(several, ends - starts)])).to_pylist()
+    at = 0
+    for lo, hi in zip(starts[several], ends[several]):
+        given = np.array(grow_leaf(prints[at : at + hi - lo], similarity))
+        _, least = np.unique(given, return_index=True)  # lines come in order
+        template[lo:hi] = line[lo:hi][least][given]
+        found[lo:hi] = np.bincount(given, n[lo:hi])[given]
+        at += hi - lo
+    enough = found >= needed[rows]
+    yield pa.RecordBatch.from_arrays([pa.array(line[enough]), pa.array(template[enough]), pa.array(needed[rows][enough])], ["line", "template", "needed"])
+
+
 def _templates(distinct: DataFrame, similarity: float, min_docs: int) -> DataFrame:
     """(line, template, needed) of the templates with enough lines to recur in the documents needed."""
 
-    def leaf_rows(leaf: int, line: np.ndarray, prints: list[bytes], n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        needed = min(LONG_DOCS, min_docs) if len(prints[0]) >= 2 * LONG_TOKENS else min_docs  # two bytes a token
-        if n.sum() < needed:
-            return
-        line, at, inverse = np.unique(line, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, n).astype(np.int64)
-        given = np.array(grow_leaf([prints[i] for i in at], similarity) if len(line) > 1 else [0])
-        enough = np.bincount(given, n)[given] >= needed
-        least = np.full(given.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, given, line)
-        yield line[enough], least[given][enough], needed
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leaves() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-            now, lines, prints, ns = None, [], [], []
-            for part in batches:
-                if not part.num_rows:
-                    continue
-                leaf, line, n = (part.column(c).to_numpy() for c in ("leaf", "line", "n"))
-                raw = part.column("print")
-                starts = group_starts(leaf)
-                for lo, hi in zip(starts, [*starts[1:], len(leaf)]):
-                    if leaf[lo] != now:
-                        if ns:
-                            yield from leaf_rows(now, np.concatenate(lines), prints, np.concatenate(ns))
-                        now, lines, prints, ns = leaf[lo], [], [], []
-                    lines.append(line[lo:hi])
-                    ns.append(n[lo:hi])
-                    prints += raw.slice(lo, hi - lo).to_pylist()
-            if ns:
-                yield from leaf_rows(now, np.concatenate(lines), prints, np.concatenate(ns))
-
-        for line, template, needed in leaves():
-            if len(line):
-                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(template), pa.array(np.full(len(line), needed, np.int32))], ["line", "template", "needed"])
+        for table in _whole_leaves(batches):
+            yield from _recurring(table, similarity, min_docs)
 
     return distinct.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "line long, template long, needed int")
 
@@ -170,7 +192,8 @@ def recurring_lines(
     texts = doc_text(docs).filter("doc_id is not null and text is not null")
     templates = _templates(_distinct_lines(texts, depth, min_tokens), similarity, min_docs)
     found = _occurrences(texts, depth, min_tokens).join(templates, "line").select("template", "needed", "doc_id", "line_no")
-    per_doc = found.groupBy("template", "needed", "doc_id").agg(F.collect_set("line_no").alias("lines"))
+    # written, as both sides of the join below read it: leaves are grown once, occurrences hashed once
+    per_doc = materialize(found.groupBy("template", "needed", "doc_id").agg(F.collect_set("line_no").alias("lines")), "holders")
     holders = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("keeper"))
     dropped = per_doc.join(holders, "template").filter("docs >= needed").filter("doc_id <> keeper")
     return dropped.groupBy(F.col("doc_id").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))

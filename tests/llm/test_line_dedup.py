@@ -84,3 +84,30 @@ def test_short_lines_take_part(spark):
     got = {r.doc_id: r for r in ld.dedup_lines(frame(spark, rows)).collect()}
     assert got[0].text == rows[0][1]
     assert all(got[i].text == f"{i}{i}\nown{'abcd'[i]}" for i in range(1, 4))
+
+
+def test_documents_are_read_three_times(spark):
+    rows = [(i, f"the very same line here\nkept {i} {'abcdefgh'[i]}") for i in range(8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(frame(spark, rows).collect(), 2).map(counted), SCHEMA)
+    assert sum(r.n_dropped for r in ld.dedup_lines(docs).collect()) == 7
+    assert seen.value == 3 * len(rows)  # for templates, for their lines, for the texts; once more would hash all lines again
+
+
+def test_leaves_across_batches_equal_brute_force(spark):
+    rows = corpus(120, 9)
+    gone = dropped_lines(rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in (1, 2, 7):
+            spark.conf.set(key, size)
+            got = {r.doc_id: r for r in ld.dedup_lines(frame(spark, rows).repartition(5)).collect()}
+            assert {i: r.n_dropped for i, r in got.items()} == {i: len(gone.get(i, ())) for i, _ in rows}
+    finally:
+        spark.conf.set(key, before)
