@@ -232,8 +232,7 @@ def bm25f_batch(spark, sf_dir):
     found = texts(spark, sf_dir, fields=["text"])
     terms = bm25f.query_terms(read(spark, sf_dir, "benchmark"), analysis.default(), "item_id")
     n, average = bm25f.collection_size(bm25f.field_stats(bm25f.field_lengths(found)), {"text": 1.0})
-    post = bm25f.postings(found).join(terms.select("term").distinct(), "term", "left_semi")
-    best = bm25f.rank_many(bm25f.term_scores(post, {"text": 1.0}, n, average), terms, 10)
+    best = bm25f.search_many(bm25f.postings(found), terms, {"text": 1.0}, n, average, 10)
     return best.select(F.col("query_id").alias("item_id"), "rank", F.col("internal_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

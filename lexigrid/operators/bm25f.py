@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer
+from ..sources.tables import materialize
 from .ordering import dense_ids
 
 K1, B = 1.2, 0.75
+#: of a table of queries: scores that a worker holds at once, queries and their terms that it holds at once, sums that it makes at once
+BLOCK_SCORES, GROUP_QUERIES, GROUP_TERMS, CELLS = 500_000, 2_000, 500_000, 2_000_000
 
 
 def analysed(leaves: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -95,7 +100,14 @@ def document_terms(post: DataFrame, weights: dict[str, float]) -> DataFrame:
 def term_scores(post: DataFrame, weights: dict[str, float], n: int, average: float, k1: float = K1, b: float = B) -> DataFrame:
     """(term, internal_id, score) of every document that holds a term."""
     per_doc = document_terms(post, weights)
-    found = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(per_doc, _frequencies(per_doc), n, average, k1, b)
+
+
+def _frequencies(per_doc: DataFrame) -> DataFrame:
+    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _scored(per_doc: DataFrame, found: DataFrame, n: int, average: float, k1: float, b: float) -> DataFrame:
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("dl") / F.lit(float(average or 1)))
     return per_doc.join(found, "term").select("term", "internal_id", (F.col("tf") / (F.col("tf") + norm) * idf).alias("score"))
@@ -122,15 +134,99 @@ def rank_one(scores: DataFrame, limit: int | None = None, offset: int = 0) -> Da
     return page.select((F.row_number().over(Window.orderBy(*best)) + offset).alias("rank"), "internal_id", "score")
 
 
-def rank_many(scores: DataFrame, queries: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """(query_id, rank, internal_id, score) for a table (query_id, term) of any size, in one job."""
-    matched = queries.select("query_id", "term").distinct().join(scores, "term")
-    ranked = summed(matched, "query_id", "internal_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "internal_id")))
-    if limit is not None:
-        ranked = ranked.filter(F.col("rank") <= offset + limit)
+def search_many(post: DataFrame, queries: DataFrame, weights: dict[str, float], n: int, average: float, limit: int | None = None, offset: int = 0, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, rank, internal_id, score) of postings for a table (query_id, term) of any size.
+
+    What the scores are made of is written once: the terms of the queries in each document, and the documents of each term.
+    """
+    asked = post.join(queries.select("term").distinct(), "term", "left_semi")
+    per_doc = materialize(document_terms(asked, weights), "per_doc")
+    found = materialize(_frequencies(per_doc), "frequencies")
+    return rank_many(_scored(per_doc, found, n, average, k1, b), queries, limit, offset, per_doc.count())
+
+
+def rank_many(scores: DataFrame, queries: DataFrame, limit: int | None = None, offset: int = 0, n_scores: int | None = None) -> DataFrame:
+    """(query_id, rank, internal_id, score) for a table (query_id, term) of any size; ``scores`` has a document's term once.
+
+    Blocks of documents meet groups of queries, and only the best of each block leave it: what is
+    moved grows with the scores, not with the scores times the queries that ask for their term.
+    """
+    if n_scores is None:
+        scores = materialize(scores, "scores")
+        n_scores = scores.count()
+    asked = materialize(queries.groupBy("query_id").agg(F.collect_set("term").alias("terms")), "queries")
+    n_queries, n_terms = asked.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).first()
+    groups = max(1, -(-n_queries // GROUP_QUERIES), -(-(n_terms or 0) // GROUP_TERMS))
+    keep = None if limit is None else offset + limit
+    blocks = max(1, -(-n_scores // (BLOCK_SCORES // 8 if keep is None else BLOCK_SCORES)))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+
+    left = scores.select(F.pmod(F.hash("internal_id"), F.lit(blocks)).alias("_block"), every(groups).alias("_group"), "internal_id", "term", "score")
+    right = asked.select(F.pmod(F.hash("query_id"), F.lit(groups)).alias("_group"), every(blocks).alias("_block"), "query_id", "terms")
+    kind = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("internal_id", scores.schema["internal_id"].dataType), T.StructField("score", T.DoubleType())])
+    best = left.groupBy("_group", "_block").cogroup(right.groupBy("_group", "_block")).applyInArrow(lambda a, b: _best(a, b, keep), kind)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "internal_id")))
+    if keep is not None:
+        ranked = ranked.filter(F.col("rank") <= keep)
     return ranked.filter(F.col("rank") > offset).select("query_id", "rank", "internal_id", "score")
 
 
+def _numbers(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the distinct ones in their order, nulls first, and those."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+
+def _first(query: np.ndarray, score: np.ndarray, doc: np.ndarray, keep: int | None) -> np.ndarray:
+    """The places of the ``keep`` best rows of each query; of equal scores the least documents."""
+    if keep is None:
+        return np.arange(len(query))
+    order = np.lexsort((doc, -score, query))
+    ordered = query[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < keep]
+
+
+def _best(scores: pa.Table, queries: pa.Table, keep: int | None) -> pa.Table:
+    """(query_id, internal_id, score): the ``keep`` best documents of a block for each query of a group.
+
+    A score is added to the sums of all queries that ask for its term, terms in their order as in ``summed``.
+    """
+    terms = queries["terms"].combine_chunks()
+    wanted, vocabulary = _numbers(terms.flatten())
+    asking = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))[np.argsort(wanted, kind="stable")]
+    starts = np.searchsorted(np.sort(wanted), np.arange(len(vocabulary) + 1))
+    term = pc.index_in(scores["term"].combine_chunks(), value_set=vocabulary)
+    scores, term = scores.filter(term.is_valid()), term.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    doc, ids = _numbers(scores["internal_id"].combine_chunks())
+    step = max(1, CELLS // max(1, len(terms)))
+    order = np.lexsort((doc, term, doc // step))
+    doc, term, score = doc[order], term[order], scores["score"].to_numpy()[order]
+    edges = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(doc // step, prepend=-1))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for base in range(0, len(ids), step):
+        total = np.full((min(step, len(ids) - base), len(terms)), -0.0)  # no sum of scores is -0.0
+        a, z = np.searchsorted(doc[edges] // step, (base // step, base // step + 1))
+        for at, end in zip(edges[a:z], np.append(edges, len(doc))[a + 1 : z + 1]):
+            t = term[at]
+            total[doc[at:end, None] - base, asking[starts[t] : starts[t + 1]]] += score[at:end, None]
+        seen = (total != 0) | ~np.signbit(total)
+        if keep is not None and keep < len(total):
+            total[~seen] = -np.inf
+            seen &= total >= np.partition(total, len(total) - keep, axis=0)[len(total) - keep]
+        row, query = np.nonzero(seen)
+        points = total[row, query]
+        some = _first(query, points, row, keep)
+        found.append((query[some], row[some] + base, points[some]))
+    query, row, points = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    some = _first(query, points, row, keep)
+    return pa.table({"query_id": queries["query_id"].combine_chunks().take(pa.array(query[some])), "internal_id": ids.take(pa.array(row[some])), "score": points[some]})
+
+
 def query_terms(queries: DataFrame, analyzer: Analyzer, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term), each term once for a query."""
     tokens = queries.select(F.col(query_id).alias("query_id"), analyzer.tokenize(F.col(text)).alias("tokens"))

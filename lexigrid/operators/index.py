@@ -222,8 +222,7 @@ class SearchIndex:
         """(query_id, rank, id, score) of a whole table of queries, in one job."""
         terms = bm25f.query_terms(queries, self.analyzer, query_id, text)
         weights, n, average = self._weights(fields)
-        post = self.table("postings").join(terms.select("term").distinct(), "term", "left_semi")
-        ranked = bm25f.rank_many(bm25f.term_scores(post, weights, n, average, k1, b), terms, limit, offset)
+        ranked = bm25f.search_many(self.table("postings"), terms, weights, n, average, limit, offset, k1, b)
         return ranked.join(self.table("doc_ids"), "internal_id").select("query_id", "rank", "id", "score")
 
     def autocomplete(self, word: str, how: AutocompleteOptions | None = None, **options) -> DataFrame:

@@ -211,3 +211,32 @@ def test_a_tokenizer_in_python(spark):
 
     built = index(spark, [("1", "a-b c", None), ("2", "c", None)], language=custom("dashes", python_tokenize=lambda t: t.split("-")))
     assert ids(built.search("B c")) == ["1"] and ids(built.search("c")) == ["2"]
+
+
+def test_a_table_of_queries_moves_no_pairs(spark, monkeypatch):
+    """Only the best of each block leave it; ties, several groups and blocks, and sums that are nothing or negative."""
+    import random
+
+    from lexigrid.operators import bm25f
+
+    rng = random.Random(5)
+    words = "a b c d e f g h".split()
+    asked = {q: set(rng.sample(words, rng.randint(1, 5))) | ({"zzz"} if q % 3 else set()) for q in range(13)} | {99: {"zzz"}}
+    points = {(w, d): rng.choice([-0.5, 0.1, 0.25, 0.5]) for d in range(90) for w in words if rng.random() < 0.3}
+    scores = spark.createDataFrame([(w, d, s) for (w, d), s in points.items()], "term string, internal_id long, score double").repartition(5)
+    queries = spark.createDataFrame([(q, w) for q, some in asked.items() for w in some], "query_id int, term string")
+    want = []
+    for q, some in asked.items():
+        sums = {}
+        for w in sorted(some):
+            for d in range(90):
+                if (w, d) in points:
+                    sums[d] = sums.get(d, 0.0) + points[w, d]
+        want += [(q, k + 1, d, s) for k, (d, s) in enumerate(sorted(sums.items(), key=lambda x: (-x[1], x[0])))]
+    for name, n in (("BLOCK_SCORES", 160), ("GROUP_QUERIES", 5), ("CELLS", 60)):
+        monkeypatch.setattr(bm25f, name, n)
+        for limit, offset in ((4, 0), (3, 2), (None, 0), (None, 3)):
+            got = bm25f.rank_many(scores, queries, limit, offset)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "collect_list" not in plan and "Join" not in plan
+            assert sorted(map(tuple, got.collect())) == [r for r in sorted(want) if offset < r[1] <= offset + (limit or 1000)]
