@@ -7,6 +7,8 @@ frequency saturates without a (k1 + 1) factor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,25 +41,24 @@ def term_hits(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     return texts.select("internal_id", "field", F.size(_kept()).alias("dl"), wanted.alias("wanted"))
 
 
-def _counted(terms: pa.Array) -> pa.Array:
-    """Each text's distinct terms with their numbers, all texts of a batch at once."""
-    flat = terms.flatten()
-    kind = pa.struct([("term", pa.string()), ("tf", pa.int32())])
-    sizes = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    if not len(flat):
-        return pa.ListArray.from_arrays(pa.array(np.zeros(len(terms) + 1, np.int32)), pa.array([], kind))
-    coded = flat.dictionary_encode()
-    key = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32 | coded.indices.to_numpy(zero_copy_only=False)
-    key, n = np.unique(key, return_counts=True)
-    cuts = np.searchsorted(key, np.arange(len(sizes) + 1, dtype=np.int64) << 32).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(n.astype(np.int32))], fields=list(kind))
-    return pa.ListArray.from_arrays(pa.array(cuts), pairs)
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _counted(terms: Column) -> Column:
+    """A text's distinct terms with their numbers: the runs of its sorted terms.  No batch of texts is held, and no Python runs."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return _once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tf"))))
+
+    return F.when(F.size(terms) > 0, _once(F.sort_array(terms), runs))
 
 
 def unfold(hits: DataFrame) -> DataFrame:
     """(term, internal_id, field, tf, dl) of term hits; a text's terms are counted in its own row, so nothing is moved."""
-    counted = F.arrow_udf(_counted, "array<struct<term:string,tf:int>>")(F.col("wanted"))
-    rows = hits.select("internal_id", "field", "dl", F.inline(counted))
+    rows = hits.select("internal_id", "field", "dl", F.inline(_counted(F.col("wanted"))))
     return rows.select("term", "internal_id", "field", "tf", "dl")
 
 

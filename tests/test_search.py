@@ -240,3 +240,18 @@ def test_a_table_of_queries_moves_no_pairs(spark, monkeypatch):
             plan = got._jdf.queryExecution().executedPlan().toString()
             assert "collect_list" not in plan and "Join" not in plan
             assert sorted(map(tuple, got.collect())) == [r for r in sorted(want) if offset < r[1] <= offset + (limit or 1000)]
+
+
+def test_terms_are_counted_in_the_jvm(spark):
+    """No Python worker holds a batch of texts; the counts are those of a Counter."""
+    from lexigrid.functions import analysis
+    from lexigrid.operators import bm25f
+
+    texts = {1: "b a B c_1 a, a", 2: "", 3: "?!", 4: "x " * 3000 + "Y", 5: " ".join(f"w{i % 700}" for i in range(2000)), 6: "one"}
+    leaves = spark.createDataFrame([(i, "text", t) for i, t in texts.items()], "internal_id long, field string, value string")
+    for only in (None, ["a", "y", "w3", "nothing"]):
+        post = bm25f.postings(bm25f.analysed(leaves, analysis.default()), only)
+        assert "Python" not in post._jdf.queryExecution().executedPlan().toString() and post.schema.simpleString() == "struct<term:string,internal_id:bigint,field:string,tf:int,dl:int>"
+        got = sorted(map(tuple, post.collect()))
+        words = {i: re.findall(r"\w+", t.lower()) for i, t in texts.items()}
+        assert got == sorted((w, i, "text", n, len(some)) for i, some in words.items() for w, n in Counter(some).items() if only is None or w in only)
