@@ -159,7 +159,7 @@ def term_frequency(spark, sf_dir):
 
 @query("document_frequency", f"WITH {_tokens_sql()} SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term")
 def document_frequency(spark, sf_dir):
-    return bm25f.document_terms(bm25f.postings(texts(spark, sf_dir)), EVEN).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return bm25f.document_frequency(read(spark, sf_dir, "documents"), "doc_id", FIELDS, analysis.default())
 
 
 @query("field_lengths", f"WITH {_tokens_sql()} SELECT * FROM lens")

@@ -83,6 +83,18 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(F.transform(pairs, lambda p: F.lower(p["tokens"])))).alias("word")).distinct()
 
 
+def document_frequency(docs: DataFrame, key: str, fields: list[str], analyzer: Analyzer) -> DataFrame:
+    """(term, df) over all fields, from the documents themselves, in whose rows each term is told once.
+
+    So a row for each term leaves a task, and none for a term and a document, unless ids are given
+    twice: then documents of one id are one.  A document without an id counts for nothing, as in SQL.
+    """
+    twice = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    found = F.concat(*[analyzer.terms(analyzer.tokenize(F.col(f))) for f in fields])
+    told = docs.select(F.col(key).alias("internal_id"), found.alias("terms")).select("internal_id", F.explode(F.array_distinct(_kept())).alias("term"))
+    return told.groupBy("term").agg((F.count_distinct("internal_id") if twice else F.count("internal_id")).alias("df"))
+
+
 def collection_size(stats: DataFrame, weights: dict[str, float]) -> tuple[int, float]:
     """(N, average length) over the weighted fields, from one row for each field."""
     rows = [r for r in stats.collect() if weights.get(r.field, 0) > 0]
