@@ -67,6 +67,12 @@ def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     return unfold(term_hits(texts, only))
 
 
+def kept_texts(texts: DataFrame, words: bool = False) -> DataFrame:
+    """(internal_id, field, dl, counted[, words]): all that an index keeps of a text, in its one row, from one look at it."""
+    kept = texts.select("internal_id", "field", _kept().alias("wanted"), *[_words().alias("words")] * words)
+    return kept.select("internal_id", "field", F.size("wanted").alias("dl"), _counted(F.col("wanted")).alias("counted"), *["words"] * words)
+
+
 def field_lengths(texts: DataFrame) -> DataFrame:
     """(internal_id, field, dl); a text without a term has length 0 and counts."""
     return texts.select("internal_id", "field", F.size(_kept()).alias("dl"))
@@ -77,10 +83,14 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("doc_count"), F.sum("dl").cast("long").alias("total_dl"))
 
 
+def _words() -> Column:
+    pairs = F.filter(F.arrays_zip("tokens", "terms"), lambda p: p["terms"] != "")
+    return F.array_distinct(F.transform(pairs, lambda p: F.lower(p["tokens"])))
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(word): distinct lower-cased raw tokens whose term was kept."""
-    pairs = F.filter(F.arrays_zip("tokens", "terms"), lambda p: p["terms"] != "")
-    return texts.select(F.explode(F.array_distinct(F.transform(pairs, lambda p: F.lower(p["tokens"])))).alias("word")).distinct()
+    return texts.select(F.explode(_words()).alias("word")).distinct()
 
 
 def document_frequency(docs: DataFrame, key: str, fields: list[str], analyzer: Analyzer) -> DataFrame:

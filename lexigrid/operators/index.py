@@ -111,13 +111,13 @@ class SearchIndex:
         leaves = flatten(ided, ["internal_id"], list(o.json_columns), "body").filter(F.col("field") != o.id_field)
         if o.indexed_fields:
             leaves = leaves.filter(F.col("field").isin(*o.indexed_fields))
-        # texts are analysed once, for all the tables made of them
-        texts = materialize(bm25f.analysed(leaves, self.analyzer), "texts")
-        post = materialize(bm25f.postings(texts), "postings")
-        lengths = materialize(bm25f.field_lengths(texts), "lengths")
+        # texts are analysed, counted and written once; postings and lengths are read from there
+        texts = materialize(bm25f.kept_texts(bm25f.analysed(leaves, self.analyzer), o.enable_autocomplete), "texts")
+        post = texts.select("internal_id", "field", "dl", F.inline("counted")).select("term", "internal_id", "field", "tf", "dl")
+        lengths = texts.select("internal_id", "field", "dl")
         tables = {"postings": post, "field_lengths": lengths, "field_stats": bm25f.field_stats(lengths), "doc_ids": ids}
         if o.enable_autocomplete:
-            tables["vocabulary"] = materialize(bm25f.vocabulary(texts), "vocabulary")
+            tables["vocabulary"] = materialize(texts.select(F.explode("words").alias("word")).distinct(), "vocabulary")
         if o.keep_documents:
             tables["docs"] = ided.select("internal_id", F.to_json("body").alias("doc"))
         return Patch(self.index_id, self.version + 1, ids.count(), tables)
@@ -194,7 +194,8 @@ class SearchIndex:
         terms = self.query_terms(query, how)
         weights, n, average = self._weights(how.fields)
         post = self.table("postings").filter(F.col("term").isin(*terms)) if terms else self.table("postings").limit(0)
-        scores = bm25f.term_scores(post, weights, n, average, how.k1, how.b)
+        hits = materialize(post, "hits")  # the postings are read once, for the frequencies and for the scores
+        scores = bm25f.term_scores(hits, weights, n, average, how.k1, how.b)
         ids = self.table("doc_ids")
         if how.id_filter is not None:
             scores = scores.join(ids.filter(how.id_filter(F.col("id"))).select("internal_id"), "internal_id", "left_semi")

@@ -203,3 +203,27 @@ def test_sync_over_http(spark, base, whole):
             fetch(f"{at}/silent", dry_run=True)
     finally:
         server.shutdown()
+
+
+def test_texts_are_written_once(spark, monkeypatch):
+    """An index writes its texts in one pass, and a search the postings of its terms alone."""
+    from lexigrid.operators import index as module
+
+    written = []
+
+    def noting(df, name):
+        written.append(name)
+        return materialize(df, name)
+
+    materialize = module.materialize
+    monkeypatch.setattr(module, "materialize", noting)
+    docs = spark.createDataFrame([("1", "Red fox red", "a fox"), ("2", "", "blue"), ("3", None, "?!")], "id string, title string, body string")
+    built = SearchIndex(spark, IndexOptions(order_by=("id",))).insert(docs)
+    assert written == ["texts"]
+    found = {n: sorted(map(tuple, built.table(n).collect())) for n in ("postings", "field_lengths", "field_stats")}
+    assert found["postings"] == [("a", 0, "body", 1, 2), ("blue", 1, "body", 1, 1), ("fox", 0, "body", 1, 2), ("fox", 0, "title", 1, 3), ("red", 0, "title", 2, 3)]
+    assert found["field_lengths"] == [(0, "body", 2), (0, "title", 3), (1, "body", 1), (1, "title", 0), (2, "body", 0)]
+    assert found["field_stats"] == [("body", 3, 3), ("title", 2, 3)]
+    assert [r.id for r in built.search("red", include_docs=False).collect()] == ["1"] and written == ["texts", "hits"]
+    offers = SearchIndex(spark, IndexOptions(order_by=("id",), enable_autocomplete=True, language="english")).insert(docs)
+    assert sorted(r.word for r in offers.table("vocabulary").collect()) == ["blue", "fox", "red"]
